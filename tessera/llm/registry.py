@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination
+from tessera.llm import decontamination, licenses, quality
 
 QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op4_license_scans": licenses.query,
     "op8_benchmark_decontamination": decontamination.query,
 }
 ORACLES = {
