@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, licenses, quality
+from tessera.llm import decontamination, licenses, quality, secrets
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_secret_scans": secrets.query,
     "op4_license_scans": licenses.query,
     "op8_benchmark_decontamination": decontamination.query,
 }
