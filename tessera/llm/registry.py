@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, licenses, quality, secrets
+from tessera.llm import decontamination, licenses, pii, quality, secrets, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_secret_scans": secrets.query,
     "op4_license_scans": licenses.query,
+    "op5_substring_dedup": substrings.query,
     "op8_benchmark_decontamination": decontamination.query,
+    "op10_pii": pii.query,
 }
 ORACLES = {
+    "op5_substring_dedup": substrings.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
 }
