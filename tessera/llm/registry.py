@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, licenses, pii, quality, secrets, substrings
+from tessera.llm import decontamination, jaccard, licenses, pii, quality, secrets, substrings
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_secret_scans": secrets.query,
     "op4_license_scans": licenses.query,
     "op5_substring_dedup": substrings.query,
+    "op7_ngram_jaccard_join": jaccard.query,
     "op8_benchmark_decontamination": decontamination.query,
     "op10_pii": pii.query,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
+    "op7_ngram_jaccard_join": jaccard.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
 }
