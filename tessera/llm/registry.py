@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard, licenses, pii, quality, secrets, substrings
+from tessera.llm import decontamination, jaccard, licenses, pii, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,10 +11,12 @@ QUERIES = {
     "op5_substring_dedup": substrings.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_benchmark_decontamination": decontamination.query,
+    "op9_warc": warc.query,
     "op10_pii": pii.query,
 }
 ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
     "op7_ngram_jaccard_join": jaccard.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,
+    "op9_warc": warc.ORACLE,
 }
