@@ -108,7 +108,7 @@ def _write(folder: str):
         name = f"pages-{own.partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
         partial, out, stream, at = f"{root}/.{name}", defaultdict(list), None, 0
         for page_id, url, html, refers in rows(batches, "page_id", "url", "html", "refers_to"):
-            stream = stream or files.open_output_stream(partial)
+            stream = stream or files.open_output_stream(partial, compression=None)
             payload, url = html or b"", (url or b"").decode()
             data = gzip.compress(record(page_id, url, None if refers is not None else payload, len(payload), _base32_sha1(payload), refers), LEVEL, mtime=0)
             stream.write(data)
@@ -137,7 +137,7 @@ def _blocks(folder: str, block_lines: int):
 
         def flush():
             nonlocal stream, at
-            stream = stream or files.open_output_stream(partial)
+            stream = stream or files.open_output_stream(partial, compression=None)
             data = gzip.compress(b"\n".join(held), LEVEL, mtime=0)
             stream.write(data)
             for k, v in (("first", held[0].split(b" ")[0].decode()), ("last", held[-1].split(b" ")[0].decode()), ("file", name), ("offset", at), ("length", len(data)), ("lines", len(held))):
