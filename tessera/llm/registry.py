@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard, licenses, pii, quality, secrets, substrings, warc
+from tessera.llm import decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_secret_scans": secrets.query,
+    "op3_packing": packing.query,
     "op4_license_scans": licenses.query,
     "op5_substring_dedup": substrings.query,
     "op7_ngram_jaccard_join": jaccard.query,
