@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, warc
+from tessera.llm import decontamination, jaccard, licenses, packing, pii, quality, secrets, substrings, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_license_scans": licenses.query,
     "op5_substring_dedup": substrings.query,
+    "op6_toxicity": toxicity.query,
     "op7_ngram_jaccard_join": jaccard.query,
     "op8_benchmark_decontamination": decontamination.query,
     "op9_warc": warc.query,
