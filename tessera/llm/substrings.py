@@ -45,7 +45,7 @@ def _keys(docs: list[bytes], window: int, k: int):
 
 
 def _emit(window: int, k: int, before: int | None):
-    """Rows (key, doc_id): what stands for live windows at length k, neighbours once. before: the length whose survivors come with the texts."""
+    """Rows (key, doc_id): what stands for live windows at length k, once for each text. before: the length whose survivors come with the texts."""
 
     def run(batches):
         import pyarrow as pa
@@ -68,6 +68,8 @@ def _emit(window: int, k: int, before: int | None):
             if not len(at):
                 continue
             key, of = key[at], of[at]
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
             fresh = np.ones(len(at), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
             ids = np.array([r[0] for r in chunk], np.int64)
