@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ship, texts
+from tessera.llm.common import ship, staged, texts
 from tessera.llm.words import LOWER, PLAIN, grams, hashed, rows
 
 #: Insults in general use.
@@ -44,13 +44,15 @@ class Entries(NamedTuple):
 
     number: dict[bytes, int]
     general: int  # entries below this are the general lexicon
+    strong: int  # entries from this on don't vote; only the classifier weighs them
     starts: frozenset[bytes]  # the first bytes of word beginnings, to try no others
 
     @staticmethod
-    def of(mined: list[bytes]) -> Entries:
-        general = [w.encode() for words in LEXICON.values() for w in words]
-        every = list(dict.fromkeys([*general, *mined]))
-        return Entries({w: i for i, w in enumerate(every)}, len(general), frozenset(w[: min(PREFIXES)] for w in every if w.endswith(b"*")))
+    def of(mined: list[bytes], weak: list[bytes] = ()) -> Entries:
+        general = list(dict.fromkeys(w.encode() for words in LEXICON.values() for w in words))
+        voting = list(dict.fromkeys([*general, *mined]))
+        every = list(dict.fromkeys([*voting, *weak]))
+        return Entries({w: i for i, w in enumerate(every)}, len(general), len(voting), frozenset(w[: min(PREFIXES)] for w in every if w.endswith(b"*")))
 
     def found(self, words: set[bytes]) -> set[int]:
         number, starts, out = self.number, self.starts, set()
@@ -68,9 +70,10 @@ def candidates(words: set[bytes]) -> set[bytes]:
 
 
 class Look(NamedTuple):
-    """What of a text the voters and the classifier see."""
+    """What of a text the voters and the classifier see; found: all entries, voting: those that vote, hits: words that hold one of these."""
 
     found: set[int]
+    voting: set[int]
     n_words: int
     hits: int
     shouts: float
@@ -86,12 +89,13 @@ def look(text: bytes, entries: Entries) -> Look:
     listed = plain.split()
     words = set(listed)
     found = entries.found(words)
+    voting = {i for i in found if i < entries.strong}
     hits = 0
-    if found:
-        held = {w for w in words if entries.found({w})}
+    if voting:
+        held = {w for w in words if any(i < entries.strong for i in entries.found({w}))}
         hits = sum(w in held for w in listed)
     letters = len(text) - text.count(b" ")
-    return Look(found, len(listed), hits, sum(a != b for a, b in zip(text[:2000], text[:2000].translate(LOWER), strict=True)) / max(1, min(letters, 2000)) if found else 0.0, text.count(b"!"), any(a in plain for a in ADDRESS) if found else False)
+    return Look(found, voting, len(listed), hits, sum(a != b for a, b in zip(text[:2000], text[:2000].translate(LOWER), strict=True)) / max(1, min(letters, 2000)) if voting else 0.0, text.count(b"!"), any(a in plain for a in ADDRESS) if voting else False)
 
 
 VOTERS = ("general", "mined 0", "mined 1", "mined 2", "two entries", "dense", "shouting", "address", "none", "given")
@@ -99,15 +103,15 @@ VOTERS = ("general", "mined 0", "mined 1", "mined 2", "two entries", "dense", "s
 
 def votes(x: Look, entries: Entries, label: int | None) -> tuple[int, ...]:
     """By voter: 1 toxic, -1 clean, 0 none."""
-    mined = [i for i in x.found if i >= entries.general]
+    mined = [i for i in x.voting if i >= entries.general]
     return (
-        1 if any(i < entries.general for i in x.found) else 0,
+        1 if any(i < entries.general for i in x.voting) else 0,
         *(1 if any(i % 3 == k for i in mined) else 0 for k in range(3)),
         1 if x.hits >= 2 else 0,
         1 if x.hits > 0.01 * x.n_words else 0,
-        1 if x.shouts > 0.3 and x.found else 0,
-        1 if x.addressed and x.found else 0,
-        -1 if not x.found else 0,
+        1 if x.shouts > 0.3 and x.voting else 0,
+        1 if x.addressed and x.voting else 0,
+        -1 if not x.voting else 0,
         0 if label is None else 1 if label else -1,
     )
 
@@ -178,7 +182,7 @@ class Model(NamedTuple):
 
 
 def _counts(x: Look) -> np.ndarray:
-    return np.array([math.log1p(len(x.found)), math.log1p(x.hits), 100 * x.hits / max(x.n_words, 20), float(x.addressed)])
+    return np.array([math.log1p(len(x.voting)), math.log1p(x.hits), 100 * x.hits / max(x.n_words, 20), float(x.addressed)])
 
 
 def _count_candidates(batches):
@@ -207,21 +211,30 @@ def _shape(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.array([x[i] for x in low], np.uint64).view(np.int64)) for i in range(2))], [*batch.schema.names, "low_a", "low_b"])
 
 
-def mine(labelled: DataFrame, max_entries: int = 4_000) -> list[bytes]:
-    """Entries that hold for toxic texts by more than chance: at a binomial tail below one in ten over all candidates."""
+def mine(labelled: DataFrame, max_entries: int = 4_000) -> tuple[list[bytes], list[bytes]]:
+    """Entries whose counts in toxic texts are beyond chance: those with odds of 20 or more, and the weaker ones with all words that begin with any; at
+    most max_entries and twice as many."""
     shaped = labelled.select("text", "label").mapInArrow(_shape, "text string, label int, low_a long, low_b long")
     once = shaped.dropDuplicates(["low_a"]).dropDuplicates(["low_b"])
     counted = once.select("text", "label").mapInArrow(_count_candidates, "entry binary, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     kinds = labelled.groupBy("label").count().collect()  # two rows
     n = {r["label"]: r["count"] for r in kinds}
     if not n.get(0) or not n.get(1):
-        return []
-    rate = n[1] / (n[0] + n[1])
-    # among about 200 candidates a text, with all hits toxic, `least` hits are beyond chance
-    least = max(3, math.ceil(math.log(0.1 / (200 * (n[0] + n[1]))) / math.log(rate)) - 3) if rate < 1 else 3
-    found = counted.where((F.col("toxic") >= least) & (F.col("toxic") * n[0] >= 20 * F.col("clean") * n[1]))
+        return [], []
+    counted = staged(counted.where("clean + toxic >= 3"), "candidates")
+    # log-likelihood ratio of the counts against one rate for all texts; a text has about 200 candidates
+    every, hits = float(n[0] + n[1]), F.col("clean") + F.col("toxic")
+    ratio = 2 * sum(F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * every / (hits * float(n[k])))).otherwise(0.0) for k, c in ((0, "clean"), (1, "toxic")))
+    beyond = 2 * max(5.0, math.log(200 * every / 0.1) - 6)
+    found = counted.where((ratio >= beyond) & (F.col("toxic") * n[0] >= 6 * F.col("clean") * n[1]))
     # of a beginning and the longer ones inside it, all may stay: the classifier weighs them
-    return [bytes(r["entry"]) for r in found.orderBy(F.desc("toxic"), "entry").limit(max_entries).collect()]
+    held = [(bytes(r["entry"]), r["toxic"] * n[0] >= 20 * r["clean"] * n[1]) for r in found.orderBy(F.desc(ratio), "entry").limit(max_entries).collect()]
+    starts = [w[:-1] for w, _ in held if w.endswith(b"*")]
+    weak = [w for w, strong in held if not strong]
+    if starts:  # words with such a beginning may be clean ones; the classifier can tell only if they are entries
+        more = counted.where(" OR ".join(f"substring(entry, 1, {k}) IN ({', '.join(x)})" for k in PREFIXES if (x := [f"X'{w.hex()}'" for w in starts if len(w) == k])))
+        weak += [bytes(r["entry"]) for r in more.orderBy(F.desc(hits), "entry").limit(max_entries).collect()]
+    return [w for w, strong in held if strong], weak
 
 
 def _looks(entries: Entries):
@@ -267,8 +280,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_e
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so a broadcast of it is bounded
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").persist()
     try:
-        mined = mine(labelled, max_entries)
-        entries = Entries.of(mined)
+        entries = Entries.of(*mine(labelled, max_entries))
         source = labelled
         if labelled.isEmpty():
             source = docs.where(open_rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("text", F.lit(None).cast("int").alias("label"))
