@@ -1,7 +1,54 @@
-"""The corpus pipeline: five stages of the llm operators, each over all that its predecessor kept."""
-STAGES = []
+"""The corpus pipeline: toxicity, near duplicates, decontamination, PII, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns documents' columns; the last returns packed pieces. Decisions are judged on the
+stage's own input: toxic documents go, one document of each group of near copies stays (the least doc_id), contaminated documents go, private
+values become pseudonyms (n_chars is made right), and what's left is packed. A stage's result is written as Parquet in the shared folder and read again.
+
+The stages' models and tokenizer can't be expressed in SQL, so there is no oracle; tests compare each stage with a brute-force version.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, jaccard, packing, pii, toxicity
+from tessera.llm.common import staged
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = pii.pseudonyms(docs).drop("pii")
+    return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
+    ("benchmark_decontamination", drop_contaminated),
+    ("pii", hide_private),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

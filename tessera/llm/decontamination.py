@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,22 +102,27 @@ def _search(items, window):
     return run
 
 
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items (item, text) in blocks of about block_bytes of text."""
+    items = benchmark.select(benchmark["item_id"].cast("string").alias("item"), F.coalesce(benchmark["text"], F.lit("")).cast("binary").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_bytes))
+    return [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [items]
+
+
 def search(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: doc_id, n_words, spans (start, end, start, end ... of the words hit, merged, in order), items
     (ids, sorted, of the items with an occurring window)."""
     spark = documents.sparkSession
     ship(spark)
     docs = texts(documents)
-    marked = benchmark.select(benchmark["item_id"].cast("string").alias("item"), F.coalesce(benchmark["text"], F.lit("")).cast("binary").alias("text"))
-    total = marked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
-    marked = marked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
+    held_blocks = benchmark_blocks(benchmark, block_bytes)
     schema = "doc_id long, digest binary, n_words long, spans array<long>, items array<string>"
     parts = []
-    for b in range(blocks):
-        held = [(r.item, bytes(r.text)) for r in marked.where(F.col("block") == b).select("item", "text").collect()]  # block_bytes bounds it
+    for block in held_blocks:
+        held = [(r.item, bytes(r.text)) for r in block.collect()]  # block_bytes bounds it
         parts.append(docs.mapInArrow(_search(held, window), schema))
-    if blocks == 1:
+    if len(held_blocks) == 1:
         return parts[0].drop("digest")
     # several blocks: what each found is merged, row by row of the documents
     every = docs.mapInArrow(_search([], window), schema).drop("digest")
@@ -144,6 +150,34 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = 0.0
     return found.withColumn("n_hit", ends).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
 
 
+def without_contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.05, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `documents`, all columns, that aren't contaminated. With several blocks, rows of one doc_id go if any of them is."""
+    spark = documents.sparkSession
+    ship(spark)
+    held = benchmark_blocks(benchmark, block_bytes)
+    if len(held) > 1:
+        gone = decontaminate(documents, benchmark, share, window=window, block_bytes=block_bytes).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
+        return documents.join(gone.hint("shuffle_hash"), documents["doc_id"] == gone["gone"], "left_anti")
+    items = [(r.item, bytes(r.text)) for r in held[0].collect()]  # block_bytes bounds it
+
+    def run(batches):
+        import pyarrow as pa
+
+        searcher = Searcher(items, window)
+        for batch in batches:
+            kept = []
+            for (text,) in rows([batch], "text"):
+                words = (text or b"").translate(PLAIN).split()
+                hit = np.zeros(len(words), bool)
+                for start, m, _ in searcher.occurrences(words):
+                    hit[start : start + m] = True
+                n = int(hit.sum())
+                kept.append(not (n and n >= share * len(words)))
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document against the whole benchmark."""
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

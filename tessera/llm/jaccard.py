@@ -225,6 +225,13 @@ def near_duplicates(documents: DataFrame, k: int = 5) -> DataFrame:
     return profile.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(documents: DataFrame, k: int = 5) -> DataFrame:
+    """The rows of `documents`, all columns, whose doc_id is the least of its component (or null)."""
+    found = near_duplicates(documents, k)
+    gone = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return documents.join(gone.hint("shuffle_hash"), documents["doc_id"] == gone["gone"], "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
