@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.plans import searching
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+FAMILIES = (searching,)
+QUERIES: dict = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents per language and source."""
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    """The ten best documents for a question, by raw TF-IDF."""
+    return searching.tfidf_search_v0(spark, sf_dir)
