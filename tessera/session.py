@@ -29,3 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def repo_root() -> str:
     return os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """End the lineage of a loop's table: a reliable checkpoint in spark.checkpoint.dir (where unset, as in tests, in a folder of its own)."""
+    sc = df.sparkSession.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", "")
+    if base:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(base)
+    elif not sc.getCheckpointDir():
+        import tempfile
+
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-cp"))
+    return df.checkpoint()
