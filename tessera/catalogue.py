@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, searching
+from tessera.plans import graphs, searching, shaping
 
-FAMILIES = (searching, graphs)
+FAMILIES = (searching, graphs, shaping)
 QUERIES: dict = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}
 

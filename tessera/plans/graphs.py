@@ -208,7 +208,7 @@ s AS (SELECT path, 'day' || CAST(floor(line / 1440) AS BIGINT) AS id, min(line)
 SELECT path, line, arg_max(id, lpad(CAST(first AS VARCHAR), 12, '0') || id) AS id FROM (SELECT DISTINCT path, line FROM e) p JOIN s USING (path) WHERE line BETWEEN first AND last GROUP BY path, line""",
     "entry_pick": f"WITH {LINKS} SELECT path, round(least(outgoing, 6) * 0.5 - least(incoming, 6) * 0.4 - (length(path) - length(replace(path, '#', ''))) * 0.3, 6) AS score FROM cn ORDER BY score DESC, path LIMIT 1",
     "busiest": f"WITH {NODES} SELECT path, count(*) AS functions FROM nd WHERE type IN ('function', 'method', 'class') GROUP BY path ORDER BY functions DESC, path LIMIT 1",
-    "risk_rules": f"""WITH RECURSIVE {CALLS}, {_CHANGED}, {_BACK.format(e='ca').rstrip().replace('SELECT id, b.depth', 'af AS (SELECT id, b.depth')}), al AS (SELECT id FROM ch UNION ALL SELECT id FROM af), {_REACH.format(o='al')},
+    "risk_rules": f"""WITH RECURSIVE {CALLS}, {_CHANGED}, {_BACK.format(e='ca').replace('SELECT id, b.depth', ', af AS (SELECT id, b.depth')}), al AS (SELECT id FROM ch UNION ALL SELECT id FROM af), {_REACH.format(o='al')},
 te AS (SELECT DISTINCT origin AS id FROM tr WHERE depth > 0 AND id IN (SELECT id FROM ts)),
 c AS (SELECT count(*) AS changed, count(*) FILTER (id NOT IN (SELECT id FROM te)) AS untested, bool_or(id LIKE '%7') AS signature FROM ch),
 a AS (SELECT count(*) AS affected, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth = 1 AND id NOT IN (SELECT id FROM te)) AS untested_direct, coalesce(bool_or(guessed), false) AS guessed FROM af),
