@@ -198,7 +198,7 @@ SELECT id, count(*) AS degree FROM (SELECT source AS id FROM x UNION ALL SELECT
     "impact_closure": f"WITH RECURSIVE {CALLS}, r AS (SELECT id, 0 AS depth FROM su WHERE s_suppkey = 7 UNION SELECT source, depth + 1 FROM r JOIN ca ON target = id) SELECT id, min(depth) AS depth FROM r WHERE depth > 0 GROUP BY id",
     "reading_order": f"""WITH RECURSIVE {LINKS}, w AS (SELECT '{ENTRY}' AS path, ['{ENTRY}'] AS walk, 0 AS depth UNION ALL SELECT fl.target, list_append(walk, fl.target), depth + 1 FROM w JOIN fl ON fl.source = w.path WHERE depth < 3 AND NOT list_contains(walk, fl.target)),
 m AS (SELECT path, min(depth) AS depth FROM w GROUP BY path), k AS (SELECT path, m.depth, min(walk) AS walk FROM m JOIN w USING (path, depth) GROUP BY path, m.depth),
-o AS (SELECT path, depth, walk, NULL AS connections FROM k UNION ALL SELECT path, NULL, NULL, connections FROM cn WHERE path NOT IN (SELECT path FROM k)),
+o AS (SELECT path, depth, walk, CAST(NULL AS HUGEINT) AS connections FROM k UNION ALL SELECT path, NULL, NULL, connections FROM cn WHERE path NOT IN (SELECT path FROM k)),
 n AS (SELECT row_number() OVER (ORDER BY depth NULLS LAST, walk NULLS LAST, connections DESC, path) AS place, path FROM o) SELECT * FROM n WHERE place <= 8""",
     "layering": f"WITH RECURSIVE {LINKS}, w AS (SELECT '{ENTRY}' AS path, 0 AS level UNION SELECT fl.target, level + 1 FROM w JOIN fl ON fl.source = w.path WHERE level < 4) SELECT path, max(level) AS level FROM w GROUP BY path",
     "ancestors_climb": f"WITH RECURSIVE {NODES}, r AS (SELECT id, parent AS ancestor, 1 AS distance FROM nd WHERE parent IS NOT NULL UNION ALL SELECT r.id, nd.parent, distance + 1 FROM r JOIN nd ON nd.id = r.ancestor WHERE nd.parent IS NOT NULL) SELECT * FROM r",
@@ -206,7 +206,7 @@ n AS (SELECT row_number() OVER (ORDER BY depth NULLS LAST, walk NULLS LAST, conn
 s AS (SELECT path, 'day' || CAST(floor(line / 1440) AS BIGINT) AS id, min(line) AS first, max(line) AS last FROM e GROUP BY 1, 2 UNION ALL
  SELECT DISTINCT path, 'hour' || CAST(floor(line / 60) AS BIGINT), CAST(floor(line / 60) AS BIGINT) * 60, CAST(floor(line / 60) AS BIGINT) * 60 + 59 FROM e WHERE event_type = 'purchase')
 SELECT path, line, arg_max(id, lpad(CAST(first AS VARCHAR), 12, '0') || id) AS id FROM (SELECT DISTINCT path, line FROM e) p JOIN s USING (path) WHERE line BETWEEN first AND last GROUP BY path, line""",
-    "entry_pick": f"WITH {LINKS} SELECT path, round(least(outgoing, 6) * 0.5 - least(incoming, 6) * 0.4 - (length(path) - length(replace(path, '#', ''))) * 0.3, 6) AS score FROM cn ORDER BY score DESC, path LIMIT 1",
+    "entry_pick": f"WITH {LINKS} SELECT path, round(CAST(least(outgoing, 6) AS DOUBLE) * 0.5 - CAST(least(incoming, 6) AS DOUBLE) * 0.4 - CAST(length(path) - length(replace(path, '#', '')) AS DOUBLE) * 0.3, 6) AS score FROM cn ORDER BY score DESC, path LIMIT 1",
     "busiest": f"WITH {NODES} SELECT path, count(*) AS functions FROM nd WHERE type IN ('function', 'method', 'class') GROUP BY path ORDER BY functions DESC, path LIMIT 1",
     "risk_rules": f"""WITH RECURSIVE {CALLS}, {_CHANGED}, {_BACK.format(e='ca').replace('SELECT id, b.depth', ', af AS (SELECT id, b.depth')}), al AS (SELECT id FROM ch UNION ALL SELECT id FROM af), {_REACH.format(o='al')},
 te AS (SELECT DISTINCT origin AS id FROM tr WHERE depth > 0 AND id IN (SELECT id FROM ts)),
