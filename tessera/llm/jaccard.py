@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Sets are distinct 5-word shingles, as 64-bit hashes. Documents with equal sets are one class, whose least doc_id stands for it. The
-classes are partitioned into groups of similar sets: each is compared with the least class that shares one of its minimum
+classes are partitioned into groups of similar sets: each is compared with the least class that shares two of its minimum
 hashes, and verified links join classes into groups. The matrix stores, for each group, the union of its members' tokens, as
 rows (token, group). Any two sets that link share a token among their prefixes, the first n - ceil(0.75 n) + 1 tokens in one global
 order, so the matrix holds prefixes only; and they share at least 3 y / 7 - 9 x / 28 of them (x, y: the sizes). A pair of groups whose unions share
@@ -27,6 +27,9 @@ from tessera.llm.components import components
 from tessera.llm.words import LOWER, chunks, compressed, grams, hashed, mix, rows
 
 SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+#: tokens of more groups than that are joined in bands of size only; pairs of groups with as many pairs of members or fewer are verified by pair
+NARROW, SMALL = 16, 16
+BASE = -(1 << 63)
 SAMPLE_DOCS, SAMPLE_HITS, MOST_FREQUENT = 8_192, 3, 200_000
 
 
@@ -120,24 +123,28 @@ def _links(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _open(k: int):
-    """The first link between two (parts of) groups, found member by member behind the bound of the union."""
+    """Links between a part of one group and members of others: one for each of these groups, member by member behind the bound of the union."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(table):
+        import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        sides = [[(d, shingles([unpack(z)], k)[0]) for d, z in zip(p["doc_id"], p["z"], strict=True)] for p in (pdf[pdf["side"] == 0].sort_values("doc_id"), pdf[pdf["side"] == 1].sort_values("doc_id"))]
-        found = []
-        if all(sides):
-            union = np.unique(np.concatenate([s for _, s in sides[1]]))
-            for a, x in sides[0]:
-                if 4 * len(np.intersect1d(x, union, assume_unique=True)) < 3 * len(x):
-                    continue
-                if (hit := next((b for b, y in sides[1] if _links(x, y)), None)) is not None:
-                    found.append((a, hit))
-                    break
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+        every = sorted(zip(*(table.column(c).to_pylist() for c in ("asks", "doc_id", "z")), strict=True), key=lambda r: r[:2])
+        base = [(d, shingles([unpack(z)], k)[0]) for asks, d, z in every if asks == BASE]
+        union = np.unique(np.concatenate([x for _, x in base])) if base else None
+        out, done = [], set()
+        for asks, d, z in every:
+            if asks == BASE or asks in done or not base:
+                continue
+            x = shingles([unpack(z)], k)[0]
+            # a set that links with a member shares three quarters of its tokens with the union
+            if 4 * len(np.intersect1d(x, union, assume_unique=True)) >= 3 * len(x):
+                hit = next((b for b, y in base if _links(x, y)), None)
+                if hit is not None:
+                    out.append((d, hit))
+                    done.add(asks)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
     return run
 
@@ -168,17 +175,14 @@ def join(documents: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     classes = full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
     member = staged(full.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("doc_id", "rep").distinct(), "members")
     reps = staged(full.join(classes, ["n", "one", "two"]).where("doc_id = rep").groupBy("doc_id").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("low").alias("low")), "reps")
-    # groups: a class and the least that shares a minimum hash with it, if they link
-    low = reps.select("doc_id", "low_n", "high_n", F.posexplode("low").alias("seed", "hash"))
+    # groups: a class and the least that shares two minimum hashes with it, if they link
+    twos = F.array(*(F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(len(SEEDS)) for j in range(i)))
+    low = reps.select("doc_id", "low_n", "high_n", F.posexplode(twos).alias("seed", "hash"))
     least = low.groupBy("seed", "hash").agg(F.min(F.struct("doc_id", "low_n", "high_n")).alias("first"), F.count("*").alias("c")).where("c > 1")
     pairs = low.join(least, ["seed", "hash"]).where("doc_id <> first.doc_id AND 4 * least(high_n, first.high_n) >= 3 * greatest(low_n, first.low_n)")
     pairs = staged(pairs.select(F.col("doc_id").alias("b"), F.col("first.doc_id").alias("a")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    held = _with_texts(known, ids, "held")
-    release(spark)
-    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
-    links = staged(both.select("a", "b", "za", "zb").mapInArrow(_verify(k), "a long, b long"), "links")
-    remove(held)
+    links = staged(_verified(known, pairs, k, "held"), "links")
     groups = staged(components(links), "groups")
     grouped = reps.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "low_n", "high_n", F.coalesce("component", "doc_id").alias("group"))
     grouped = staged(grouped, "grouped")
@@ -188,34 +192,82 @@ def join(documents: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     shared = prefix.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("token")
     matrix = staged(prefix.join(shared.hint("shuffle_hash"), "token").join(member, "doc_id").select("token", F.col("rep").alias("doc_id")).distinct(), "matrix")
     release(spark)
-    sizes = grouped.groupBy("group").agg(F.min("low_n").alias("low"), F.max("high_n").alias("high"), F.count("*").alias("members"))
+    sizes = staged(grouped.groupBy("group").agg(F.min("low_n").alias("low"), F.max("high_n").alias("high"), F.count("*").alias("members")), "sizes")
     cells = matrix.join(grouped.select("doc_id", "group"), "doc_id").select("token", "group").distinct()
-    several = cells.groupBy("token").count().where("count > 1").select("token")
-    cells = staged(cells.join(several, "token").join(sizes, "group"), "cells")
-    x, y = (cells.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", "members"))) for s in "ab")
-    near = x.join(y, (x["token"] == y["token"]) & (x["group_a"] < y["group_b"]) & (4 * x["high_a"] >= 3 * y["low_b"]) & (4 * y["high_b"] >= 3 * x["low_a"]))
-    near = near.groupBy("group_a", "group_b", "low_a", "high_a", "members_a", "low_b", "high_b", "members_b").count()
-    bound = F.least(3 * F.col("low_b") / 7 - 9 * F.col("high_a") / 28, 3 * F.col("low_a") / 7 - 9 * F.col("high_b") / 28)
-    near = staged(near.where(F.col("count") >= bound).select("group_a", "group_b", "members_a", "members_b"), "near")
+    holders = cells.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
+    cells = staged(cells.join(holders, "token").join(sizes, "group"), "cells")
+    near = staged(_near(cells, sizes), "near")
     remove(matrix)
     remove(cells)
     release(spark)
+    members = member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     if near.isEmpty():
-        return profile, links.unionByName(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    # open the pairs of groups that are left, in parts of about 64 members a side
-    parts = near.select("group_a", "group_b", F.ceil(F.col("members_a") / 64).alias("pa"), F.ceil(F.col("members_b") / 64).alias("pb"))
-    parts = parts.withColumn("part_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pa") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pb") - 1)))
-    asked = near.select(F.col("group_a").alias("group")).unionByName(near.select(F.col("group_b").alias("group"))).distinct()
-    opened = grouped.join(asked, "group").join(sizes.select("group", "members"), "group")
-    opened = opened.select("doc_id", "group", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / 64)).alias("part"))
-    held = _with_texts(known, opened.select("doc_id"), "opened").join(opened, "doc_id")
-    sides = [
-        parts.join(held, (F.col(f"group_{s}") == held["group"]) & (F.col(f"part_{s}") == held["part"])).select("group_a", "group_b", "part_a", "part_b", F.lit(i).alias("side"), "doc_id", "z")
-        for i, s in enumerate("ab")
-    ]
-    more = sides[0].unionByName(sides[1]).groupBy("group_a", "group_b", "part_a", "part_b").applyInPandas(_open(k), "a long, b long")
-    links = staged(links.unionByName(more), "all-links")
-    return profile, links.unionByName(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+        return profile, links.unionByName(members)
+    small = near.where(F.col("members_a") * F.col("members_b") <= SMALL)
+    of = grouped.select("doc_id", "group")
+    opened = small.join(of.withColumnRenamed("doc_id", "a"), F.col("group_a") == F.col("group")).drop("group").join(of.withColumnRenamed("doc_id", "b"), F.col("group_b") == F.col("group"))
+    links = staged(links.unionByName(_verified(known, staged(opened.select("a", "b"), "small-pairs"), k, "small")), "more-links")
+    large = near.where(F.col("members_a") * F.col("members_b") > SMALL)
+    if not large.isEmpty():
+        links = staged(links.unionByName(_opened(known, large, of, k)), "all-links")
+    return profile, links.unionByName(members)
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame:
+    """Those of the pairs (a, b) whose sets link."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
+    held = _with_texts(docs, ids, name)
+    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
+    return both.select("a", "b", "za", "zb").mapInArrow(_verify(k), "a long, b long")
+
+
+def _near(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of groups that may hold a link: (group_a, group_b, members_a, members_b).
+
+    cells: (token, group, holders, low, high, members). Tokens of NARROW holders or fewer are joined with themselves. A group has `wide` other
+    tokens; a pair whose bound is over that must share narrow ones too. Where the bound is lower, the smaller size is within 7 wide / 3 of
+    three quarters of the larger; only pairs in that band are joined on wide tokens, by token and class of size.
+    """
+    wide = cells.where(F.col("holders") > NARROW)
+    sizes = sizes.join(wide.groupBy("group").agg(F.count("*").alias("wide")), "group", "left").fillna(0, ["wide"])
+
+    def side(t: DataFrame, s: str, *more: str) -> DataFrame:
+        return t.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", *more)))
+
+    narrow = cells.where(F.col("holders") <= NARROW)
+    x, y = side(narrow, "a"), side(narrow, "b").withColumnRenamed("token", "token_b")
+    compatible = (4 * F.col("high_a") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low_a"))
+    met = x.join(y, (F.col("token") == F.col("token_b")) & (F.col("group_a") < F.col("group_b")) & compatible)
+    met = met.groupBy("group_a", "group_b").agg(F.count("*").alias("n")).withColumn("w", F.lit(0).cast("long"))
+    wide = wide.join(sizes.select("group", "wide"), "group")
+    kind = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / F.log(F.lit(1.1)))
+    top = F.least(F.col("high").cast("double"), 0.75 * F.col("high") + 7 * F.col("wide") / 3 + 1)
+    larger = side(wide.withColumn("kind", F.explode(F.sequence(kind(0.75 * F.col("low")), kind(F.greatest(top, 0.75 * F.col("low")))))), "a", "wide", "kind")
+    smaller = side(wide.withColumn("kind", F.explode(F.sequence(kind(F.col("low").cast("double")), kind(F.col("high").cast("double"))))), "b", "kind").withColumnRenamed("token", "token_b")
+    band = (F.col("high_b") >= 0.75 * F.col("low_a")) & (F.col("low_b") <= 0.75 * F.col("high_a") + 7 * F.col("wide_a") / 3 + 1) & (F.col("low_b") <= F.col("high_a"))
+    banded = larger.join(smaller, (F.col("token") == F.col("token_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.col("group_a") != F.col("group_b")) & band)
+    banded = banded.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), "token").distinct()
+    banded = banded.groupBy("group_a", "group_b").agg(F.count("*").alias("w")).select("group_a", "group_b", F.lit(0).cast("long").alias("n"), "w")
+    pairs = met.unionByName(banded).groupBy("group_a", "group_b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    for s in "ab":
+        pairs = pairs.join(sizes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", "members", "wide"))), f"group_{s}")
+    bound = F.least(3 * F.col("low_b") / 7 - 9 * F.col("high_a") / 28, 3 * F.col("low_a") / 7 - 9 * F.col("high_b") / 28)
+    shared = F.col("n") + F.when(F.col("w") > 0, F.col("w")).otherwise(F.least("wide_a", "wide_b"))
+    return pairs.where(shared >= bound).select("group_a", "group_b", "members_a", "members_b")
+
+
+def _opened(docs: DataFrame, near: DataFrame, of: DataFrame, k: int) -> DataFrame:
+    """Links between groups of a pair. The larger group is the base, in parts of about 64 members; all groups that ask for a base meet each part in
+    batches of about 256 members, so a part is sent once a batch."""
+    first = F.col("members_a") >= F.col("members_b")
+    asked = near.select(*(F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"base_{c}") for c in ("group", "members")), *(F.when(first, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"ask_{c}") for c in ("group", "members")))
+    bases = asked.groupBy("base_group").agg(F.ceil(F.max("base_members") / 64).alias("parts"), F.ceil(F.sum("ask_members") / 256).alias("batches"))
+    count = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    base = of.join(bases, F.col("group") == F.col("base_group")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).withColumn("batch", count("batches")).withColumn("asks", F.lit(BASE))
+    asks = asked.join(bases, "base_group").join(of, F.col("group") == F.col("ask_group")).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.col("batches"))).withColumn("part", count("parts")).withColumn("asks", F.col("ask_group"))
+    rowed = staged(base.select("base_group", "part", "batch", "asks", "doc_id").unionByName(asks.select("base_group", "part", "batch", "asks", "doc_id")), "asked")
+    held = _with_texts(docs, rowed.select("doc_id"), "opened")
+    return rowed.join(held, "doc_id").groupBy("base_group", "part", "batch").applyInArrow(_open(k), "a long, b long")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5) -> DataFrame:
