@@ -19,7 +19,7 @@ has its own n_shingles); other columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, remove, ship, staged, texts
@@ -30,7 +30,7 @@ SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 #: tokens of more groups than that are joined in bands of size only; pairs of groups with as many pairs of members or fewer are verified by pair
 NARROW, SMALL = 16, 16
 BASE = -(1 << 63)
-SAMPLE_DOCS, SAMPLE_HITS, MOST_FREQUENT = 8_192, 3, 200_000
+SAMPLE_DOCS, SAMPLE_HITS, MOST_FREQUENT = 24_576, 3, 200_000
 
 
 def shingles(docs: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -196,7 +196,7 @@ def join(documents: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     cells = matrix.join(grouped.select("doc_id", "group"), "doc_id").select("token", "group").distinct()
     holders = cells.groupBy("token").agg(F.count("*").alias("holders")).where("holders > 1")
     cells = staged(cells.join(holders, "token").join(sizes, "group"), "cells")
-    near = staged(_near(cells, sizes), "near")
+    near = staged(_near(cells), "near")
     remove(matrix)
     remove(cells)
     release(spark)
@@ -221,39 +221,39 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, name: str) -> DataFrame
     return both.select("a", "b", "za", "zb").mapInArrow(_verify(k), "a long, b long")
 
 
-def _near(cells: DataFrame, sizes: DataFrame) -> DataFrame:
+def _near(cells: DataFrame) -> DataFrame:
     """Pairs of groups that may hold a link: (group_a, group_b, members_a, members_b).
 
-    cells: (token, group, holders, low, high, members). Tokens of NARROW holders or fewer are joined with themselves. A group has `wide` other
-    tokens; a pair whose bound is over that must share narrow ones too. Where the bound is lower, the smaller size is within 7 wide / 3 of
-    three quarters of the larger; only pairs in that band are joined on wide tokens, by token and class of size.
+    cells: (token, group, holders, low, high, members). A group's tokens are put in one global order, rare ones first. Two groups that share at least `bound` tokens
+    have bound - 1 or more left in both after the first they share; only such meetings make a row, so a pair that falls short makes none.
+
+    Tokens of NARROW holders or fewer are joined with themselves. A group has `wide` other tokens; a pair whose bound is over that must share narrow
+    ones too. Where the bound is lower, the smaller size is within 7 wide / 3 of three quarters of the larger; only pairs in that band are joined
+    on wide tokens, by token and class of size.
     """
+    own = Window.partitionBy("group").orderBy("holders", "token")
+    cells = cells.withColumn("left", F.count("*").over(Window.partitionBy("group")) - F.row_number().over(own))
     wide = cells.where(F.col("holders") > NARROW)
-    sizes = sizes.join(wide.groupBy("group").agg(F.count("*").alias("wide")), "group", "left").fillna(0, ["wide"])
+    wides = wide.groupBy("group").agg(F.count("*").alias("wide"))
 
     def side(t: DataFrame, s: str, *more: str) -> DataFrame:
-        return t.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", *more)))
+        return t.select(F.col("token").alias(f"token_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", "members", "left", *more)))
 
+    bound = F.least(3 * F.col("low_b") / 7 - 9 * F.col("high_a") / 28, 3 * F.col("low_a") / 7 - 9 * F.col("high_b") / 28)
+    enough = 1 + F.least("left_a", "left_b") >= bound
     narrow = cells.where(F.col("holders") <= NARROW)
-    x, y = side(narrow, "a"), side(narrow, "b").withColumnRenamed("token", "token_b")
     compatible = (4 * F.col("high_a") >= 3 * F.col("low_b")) & (4 * F.col("high_b") >= 3 * F.col("low_a"))
-    met = x.join(y, (F.col("token") == F.col("token_b")) & (F.col("group_a") < F.col("group_b")) & compatible)
-    met = met.groupBy("group_a", "group_b").agg(F.count("*").alias("n")).withColumn("w", F.lit(0).cast("long"))
-    wide = wide.join(sizes.select("group", "wide"), "group")
+    met = side(narrow, "a").join(side(narrow, "b"), (F.col("token_a") == F.col("token_b")) & (F.col("group_a") < F.col("group_b")) & compatible & enough)
+    wide = wide.join(wides, "group")
     kind = lambda c: F.floor(F.log(F.greatest(c, F.lit(1.0))) / F.log(F.lit(1.1)))
     top = F.least(F.col("high").cast("double"), 0.75 * F.col("high") + 7 * F.col("wide") / 3 + 1)
     larger = side(wide.withColumn("kind", F.explode(F.sequence(kind(0.75 * F.col("low")), kind(F.greatest(top, 0.75 * F.col("low")))))), "a", "wide", "kind")
-    smaller = side(wide.withColumn("kind", F.explode(F.sequence(kind(F.col("low").cast("double")), kind(F.col("high").cast("double"))))), "b", "kind").withColumnRenamed("token", "token_b")
+    smaller = side(wide.withColumn("kind", F.explode(F.sequence(kind(F.col("low").cast("double")), kind(F.col("high").cast("double"))))), "b", "kind")
     band = (F.col("high_b") >= 0.75 * F.col("low_a")) & (F.col("low_b") <= 0.75 * F.col("high_a") + 7 * F.col("wide_a") / 3 + 1) & (F.col("low_b") <= F.col("high_a"))
-    banded = larger.join(smaller, (F.col("token") == F.col("token_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.col("group_a") != F.col("group_b")) & band)
-    banded = banded.select(F.least("group_a", "group_b").alias("group_a"), F.greatest("group_a", "group_b").alias("group_b"), "token").distinct()
-    banded = banded.groupBy("group_a", "group_b").agg(F.count("*").alias("w")).select("group_a", "group_b", F.lit(0).cast("long").alias("n"), "w")
-    pairs = met.unionByName(banded).groupBy("group_a", "group_b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-    for s in "ab":
-        pairs = pairs.join(sizes.select(*(F.col(c).alias(f"{c}_{s}") for c in ("group", "low", "high", "members", "wide"))), f"group_{s}")
-    bound = F.least(3 * F.col("low_b") / 7 - 9 * F.col("high_a") / 28, 3 * F.col("low_a") / 7 - 9 * F.col("high_b") / 28)
-    shared = F.col("n") + F.when(F.col("w") > 0, F.col("w")).otherwise(F.least("wide_a", "wide_b"))
-    return pairs.where(shared >= bound).select("group_a", "group_b", "members_a", "members_b")
+    banded = larger.join(smaller, (F.col("token_a") == F.col("token_b")) & (F.col("kind_a") == F.col("kind_b")) & (F.col("group_a") != F.col("group_b")) & band & enough)
+    first = F.col("group_a") < F.col("group_b")
+    ordered = banded.select(*(F.when(first, F.col(f"{c}_{s}")).otherwise(F.col(f"{c}_{o}")).alias(f"{c}_{s}") for c in ("group", "members") for s, o in ("ab", "ba")))
+    return met.select("group_a", "members_a", "group_b", "members_b").unionByName(ordered).distinct()
 
 
 def _opened(docs: DataFrame, near: DataFrame, of: DataFrame, k: int) -> DataFrame:
