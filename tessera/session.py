@@ -43,3 +43,27 @@ def cut(df: DataFrame) -> DataFrame:
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-cp"))
     return df.checkpoint()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's source to the Python workers, once for each application, so that a cluster without the repository
+    installed can import it."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    import tempfile
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="tessera"), "tessera.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("tessera", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
