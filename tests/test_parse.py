@@ -188,3 +188,22 @@ def test_diff(spark, tmp_path):
     got = tree.parse_diff(spark.createDataFrame([(1, text)], "id int, text string")).collect()
     assert sorted((r.path, r.status, r.new_start, r.new_len) for r in got if r.new_start is not None) == [("a.py", "modified", 2, 1), ("a.py", "modified", 4, 1), ("d.py", "deleted", 0, 0), ("n.py", "added", 1, 1)]
     assert [(r.old_path, r.path) for r in got if r.status == "renamed"] == [("b.py", "c.py")]
+
+
+def test_tools(spark, project):
+    from tessera.tools import Project
+
+    p = Project(tree.read_tree(spark, str(project)))
+    assert [r.id for r in p.find_callers("slugify").collect()] == ["shop/services.py::place.inner"]
+    assert "shop/models.py::Order" in [r.id for r in p.find_callees("place").collect()]
+    assert p.search_code("slugify text").first().id == "shop/utils.py::slugify"
+    assert [r.text for r in p.read_function("slugify").collect()] == ["def slugify(x):", "    return x"]
+    assert p.read_file("models.py", 1, 2).count() == 2
+    assert p.get_flowchart("inner").count() == 3
+    assert p.project_overview().first().functions == 11
+    assert [r.term for r in p.glossary("what does this loop do").collect()] == ["loop"]
+    assert {r.id for r in p.find_construct("return", "inner").collect()} == {"shop/services.py::place.inner"}
+    assert p.call("no_such_tool") is None and p.call("find_callers", name="nothing").count() == 0
+    changed, affected = p.impact(spark.createDataFrame([("shop/utils.py", 2, 1)], "path string, new_start int, new_len int"))
+    assert [r.id for r in changed.collect()] == ["shop/utils.py::slugify"]
+    assert {(r.id, r.depth) for r in affected.collect()} == {("shop/services.py::place.inner", 1), ("shop/services.py::place", 2)}
