@@ -17,6 +17,7 @@ QUERIES = {
     "op10_pii": pii.query,
 }
 ORACLES = {
+    "op2_secret_scans": secrets.ORACLE,
     "op5_substring_dedup": substrings.ORACLE,
     "op7_ngram_jaccard_join": jaccard.ORACLE,
     "op8_benchmark_decontamination": decontamination.ORACLE,

@@ -187,3 +187,22 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
+
+
+def _oracle() -> str:
+    parts = []
+    for rank, rule in enumerate(RULES):
+        pattern = f"({_cased(rule)})({rule.tail})".replace("'", "''")
+        parts.append(f"SELECT doc_id, '{rule.kind}' AS kind, {rank} AS rank, {rule.least} AS least, string_split(regexp_replace(t, '{pattern}', chr(1) || '\\1' || chr(2) || '\\2' || chr(1), 'g'), chr(1)) AS p FROM d")
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(1) || chr(2), chr(3) || chr(3)) AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+u AS (SELECT doc_id, kind, rank, least, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS piece FROM m),
+s AS (SELECT *, CAST(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS e FROM u),
+f AS (SELECT doc_id, kind, rank, e - length(replace(piece, chr(2), '')) AS b, e FROM s WHERE i % 2 = 0 AND length(split_part(piece, chr(2), 2)) >= least),
+g AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('assign', 'access', 'hex'))}, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < {BASE}) AS base, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
