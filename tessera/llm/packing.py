@@ -1,7 +1,7 @@
 """Lexical retrieval packing: sequences of at most 4,096 tokens, filled with a seed document and its BM25 neighbours.
 
-1. Texts are encoded. White space never takes part in a token of this tokenizer, so words are encoded one by one and kept in a
-   bounded cache on each worker. What a long document has in whole windows becomes sequences of its own; its rest, shorter than a window, goes on.
+1. Texts are encoded. White space never takes part in a token of this tokenizer, so words are encoded on their own and kept in a
+   bounded table on each worker. What a long document has in whole windows becomes sequences of its own; its rest, shorter than a window, goes on.
 2. Document frequencies of all tokens over all documents are summed (as many rows as the vocabulary has), and the rests are dealt to shards of about
    `shard_tokens` tokens by hash, so that no shard depends on a source or key.
 3. Each shard has its own inverted index with BM25 weights. Longest first, a document not yet used seeds a window; the index scores all documents that share a token with it;
@@ -23,39 +23,149 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, ship, staged, texts
-from tessera.llm.words import rows
+from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans, trim
 
 WINDOW, END = 4096, 2
-SHARD_TOKENS = 2_000_000
-CACHE_WORDS = 500_000
+SHARD_TOKENS = 1_000_000
+SLOTS = 1 << 21
 K1, B = 1.2, 0.75
 BEST = 48
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space."""
+    """Ids of whole texts by a tokenizer that lower-cases, splits at white space and between letters and other signs, and ends words with a mark.
 
-    def __init__(self, path: str):
+    Under those rules (checked when it's made) a text's ids are its words' ids in order, whatever stands around them, and a comma or full stop between an
+    ASCII letter and white space is a word of its own. Words are found and hashed in bulk and looked up in an open-addressing table by their 64-bit hashes; the
+    table is bounded and begins anew when seven tenths are full. New words are encoded together; where the word marks don't tell where each ends, one by one.
+    """
+
+    def __init__(self, path: str, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        words, held = text.split(), self.words
-        try:
-            return b"".join([held[w] for w in words])
-        except KeyError:
-            pass
-        if len(held) > CACHE_WORDS:
-            held.clear()
-        new = [w for w in set(words) if w not in held]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            held[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([held[w] for w in words])
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.small = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
+        self.ends = np.zeros(len(vocabulary), bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.slots = slots
+        self._clear()
+        probe = "The  Quick,\tbrown fox.\nÉté, don't a,b x.. 12 naïve. x, y."
+        if self.texts([probe.encode()])[0].tolist() != self._ids(probe):
+            raise ValueError(f"{path}: words can't be encoded one by one")
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.at = np.zeros(self.slots, np.int32)
+        self.size = np.zeros(self.slots, np.uint16)
+        self.flat, self.used, self.count = np.zeros(1 << 16, self.small), 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, or -1."""
+        mask = np.uint64(self.slots - 1)
+        slot = (h & mask).astype(np.int64)
+        got = self.keys[slot]
+        out = np.where(got == h, slot, -1)
+        open_ = np.flatnonzero((got != h) & (got != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (self.slots - 1)
+            got = self.keys[slot[open_]]
+            hit = got == h[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (got != 0)]
+        return out
+
+    def _put(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Distinct new hashes with their ids."""
+        flat, sizes = np.concatenate(ids), np.array([len(i) for i in ids])
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        at = self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
+        self.count += len(h)
+        slot, left = (h & np.uint64(self.slots - 1)).astype(np.int64), np.arange(len(h))
+        while len(left):
+            free = left[self.keys[slot[left]] == 0]
+            where, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[where], self.at[where], self.size[where] = h[won], at[won], sizes[won]
+            left = np.setdiff1d(left, won, assume_unique=True)
+            slot[left] = (slot[left] + 1) & (self.slots - 1)
+
+    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(words)
+        texts = [w.decode() for w in words]
+        # letters alone are one word to the tokenizer; of these, what no normaliser changes goes to the model by a shorter way
+        simple = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0180" and t.lower() == t]
+        held = set(simple)
+        letters = [i for i, t in enumerate(texts) if i not in held and t.isalpha() and t.lower().isalpha()]
+        for tokenizer, chosen in ((self.bare, simple), (self.tokenizer, letters)):
+            for k in range(0, len(chosen), 2000):
+                part = chosen[k : k + 2000]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.small)
+                at = np.flatnonzero(self.ends[ids]) + 1
+                if len(at) == len(part):
+                    start = 0
+                    for i, end in zip(part, at.tolist(), strict=True):
+                        out[i] = ids[start:end]
+                        start = end
+        return [np.array(self._ids(t), self.small) if o is None else o for o, t in zip(out, texts, strict=True)]
+
+    def texts(self, docs: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, for texts of about a chunk together."""
+        raw = b"\n".join([b"", *docs, b""])
+        special = [i for i, d in enumerate(docs) if b"<|" in d] if b"<|" in raw else []  # special tokens are matched as they stand
+        low = raw.translate(LOWER)
+        data = np.frombuffer(low, np.uint8)
+        starts, ends = spans(data)
+        # a comma or full stop after a letter a-z is cut off
+        last, before = data[ends - 1], data[ends - 2]
+        stop = ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122)
+        place = np.cumsum(stop) - stop + np.arange(len(starts))
+        s, e = np.empty(len(starts) + stop.sum(), np.int64), np.empty(len(starts) + stop.sum(), np.int64)
+        s[place], e[place] = starts, ends - stop
+        s[place[stop] + 1], e[place[stop] + 1] = ends[stop] - 1, ends[stop]
+        h = np.maximum(hash_spans(data, s, e), np.uint64(1))
+        slot = self._find(h)
+        if (slot < 0).any():
+            if self.count + np.count_nonzero(slot < 0) > self.slots * 7 // 10:
+                self._clear()
+                slot[:] = -1
+            new, first = np.unique(h[slot < 0], return_index=True)
+            where = np.flatnonzero(slot < 0)[first]
+            if len(new) > self.slots // 2:
+                raise ValueError("more different words in one chunk than the table holds")
+            self._put(new, self._encode([low[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]))
+            slot = self._find(h)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        total = np.cumsum(size)
+        ids = self.flat[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        edge = np.concatenate([[0], total])[np.searchsorted(s, np.cumsum([1, *(len(d) + 1 for d in docs)]))]
+        out = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+        for i in special:
+            out[i] = np.array(self._ids(docs[i].decode()), self.small)
+        return out
+
+    def whole(self, doc: bytes) -> np.ndarray:
+        """The ids of a text of any length."""
+        if len(doc) <= 2 * CHUNK or b"<|" in doc:
+            return self.texts([doc])[0]
+        return np.concatenate([self.texts([p])[0] for p in pieces(doc)])
+
+
+def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and how often each occurs. Ids of 16 bits are sorted by radix."""
+    s = np.sort(ids, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    return s[first], np.diff(np.concatenate([first, [len(s)]]))
 
 
 def default_tokenizer() -> str:
@@ -73,29 +183,25 @@ def _encode(path: str, window: int, vocabulary: int):
 
         if path not in _encoders:
             _encoders[path] = Encoder(path)
-        encode, pack = _encoders[path], zstandard.ZstdCompressor(level=1).compress
-        small = np.uint16 if vocabulary <= 1 << 16 else np.uint32
+        encoder, pack = _encoders[path], zstandard.ZstdCompressor(level=1).compress
         df = np.zeros(vocabulary, np.int64)
         seen = False
-        end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for number, chunk in enumerate(chunks(rows(batches, "doc_id", "text"))):
+            if number % 16 == 15:
+                trim()
             out = defaultdict(list)
-            for doc_id, text in rows([batch], "doc_id", "text"):
-                data = encode(text) + end
-                ids = np.frombuffer(data, "<u4")
+            every = encoder.texts([t for _, t in chunk]) if len(chunk) > 1 else [encoder.whole(chunk[0][1])]
+            for (doc_id, _), own in zip(chunk, every, strict=True):
+                ids = np.append(own, encoder.small(END))
                 n, seen = len(ids), True
-                mark = np.zeros(vocabulary, bool) if n > 20_000 else None
-                if mark is None:
-                    df[np.unique(ids)] += 1
-                else:
-                    mark[ids] = True
-                    df += mark
+                df[_terms(ids)[0]] += 1
                 whole = n // window
                 out["doc_id"].append(doc_id)
                 out["n"].append(n)
-                out["crcs"].append([zlib.crc32(data[4 * window * i : 4 * window * (i + 1)]) for i in range(whole)])
-                out["rest"].append(pack(ids[whole * window :].astype(small).tobytes()))
+                out["crcs"].append([zlib.crc32(ids[window * i : window * (i + 1)].astype("<u4").tobytes()) for i in range(whole)])
+                out["rest"].append(pack(ids[whole * window :].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["rest"], pa.binary())], ["doc_id", "n", "crcs", "rest"])
+        trim()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([pack(df.tobytes())], pa.binary())], ["doc_id", "n", "crcs", "rest"])
 
@@ -116,7 +222,7 @@ class Index:
     """BM25 over the documents of one shard."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, tfs = zip(*(np.unique(d, return_counts=True) for d in docs), strict=True)
+        terms, tfs = zip(*(_terms(d) for d in docs), strict=True)
         lengths = np.array([len(t) for t in terms])
         own = np.repeat(np.arange(len(docs)), lengths)
         term, tf = np.concatenate(terms).astype(np.int64), np.concatenate(tfs).astype(np.float64)

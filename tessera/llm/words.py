@@ -20,7 +20,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _SEP = np.zeros(256, bool)
 _SEP[list(SPACES)] = True
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -44,17 +44,47 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def hashed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, in order, and where each text's begin (one more than texts)."""
-    data = np.frombuffer(b"\n".join([b"", *docs, b""]), np.uint8)
+def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in bytes that begin and end with a separator."""
     sep = _SEP[data]
     change = np.flatnonzero(sep[1:] != sep[:-1]) + 1
-    starts, ends = change[::2], change[1::2]
+    return change[::2], change[1::2]
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of byte ranges; none is empty or begins at 0."""
     up, down = _power(len(data))
     total = np.cumsum(_BYTE[data] * up[: len(data)])
-    words = mix((total[ends - 1] - total[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends - 1] - total[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def pieces(doc: bytes) -> Iterator[bytes]:
+    """A long text in parts, cut at separators."""
+    at = 0
+    while len(doc) - at > 2 * CHUNK:
+        cut = max(doc.rfind(c, at, at + CHUNK) for c in (b" ", b"\n", b"\t", b"\r"))
+        cut = cut if cut > at else min((x for c in (b" ", b"\n", b"\t", b"\r") if (x := doc.find(c, at + CHUNK)) >= 0), default=len(doc))
+        yield doc[at:cut]
+        at = cut
+    yield doc[at:]
+
+
+def hashed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ of all texts, in order, and where each text's begin (one more than texts)."""
+    if len(docs) > 1 and sum(map(len, docs)) > 2 * CHUNK:
+        parts = [hashed([d]) for d in docs]
+        return np.concatenate([w for w, _ in parts]), np.cumsum([0, *(len(w) for w, _ in parts)])
+    if docs and len(docs[0]) > 2 * CHUNK:
+        every = np.concatenate([hashed([p])[0] if len(p) <= 2 * CHUNK else _hashed([p])[0] for p in pieces(docs[0])])
+        return every, np.array([0, len(every)])
+    return _hashed(docs)
+
+
+def _hashed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"\n".join([b"", *docs, b""]), np.uint8)
+    starts, ends = spans(data)
     at = np.cumsum([1, *(len(d) + 1 for d in docs)])
-    return words, np.searchsorted(starts, at)
+    return hash_spans(data, starts, ends), np.searchsorted(starts, at)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
@@ -95,13 +125,24 @@ def rows(batches, *names: str) -> Iterator[tuple]:
     import pyarrow as pa
 
     for batch in batches:
-        columns = []
-        for name in names:
-            column = batch.column(name)
-            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-                column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
-            columns.append(column.to_pylist())
-        yield from zip(*columns, strict=True)
+        for at in range(0, batch.num_rows, 256):  # few rows at a time are Python objects
+            columns = []
+            for name in names:
+                column = batch.column(name).slice(at, 256)
+                if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                    column = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
+                columns.append(column.to_pylist())
+            yield from zip(*columns, strict=True)
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    import ctypes
+
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def compressed(docs, key: str = "doc_id"):
@@ -113,7 +154,7 @@ def compressed(docs, key: str = "doc_id"):
 
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            kept = list(rows([batch], key, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([pack(t) for _, t in kept], pa.binary())], [key, "z"])
+            kept = [(k, pack(t)) for k, t in rows([batch], key, "text")]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([z for _, z in kept], pa.binary())], [key, "z"])
 
     return docs.mapInArrow(run, f"{key} long, z binary")
