@@ -25,10 +25,16 @@ STEMS = (
 TEST_FOLDER = "^(__tests__|tests?|specs?|testing|e2e)([-_.].*)?$"
 TEST_FILE = "^(test_.*|.*_test|.*[.](test|spec)|.*Tests?|conftest)$"
 # Folders that aren't read, names and extensions of secrets, extensions of code.
-SKIP_FOLDERS = "node_modules bower_components vendor dist build out target bin obj venv env __pycache__ site-packages coverage htmlcov".split()
+SKIP_FOLDERS = (
+    ".git .hg .svn node_modules bower_components __pycache__ .venv venv env .env .tox .nox .mypy_cache .pytest_cache .ruff_cache site-packages "
+    "dist build out target coverage .next .nuxt .turbo .cache .idea .vscode .gradle"
+).split()
 SECRET_NAMES = "id_rsa id_dsa id_ecdsa id_ed25519 .netrc .npmrc .pypirc credentials credentials.json secrets.json secrets.yaml secrets.yml service-account.json .htpasswd .git-credentials".split()
 SECRET_EXTENSIONS = "pem key p12 pfx keystore jks crt der".split()
-LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c"}
+GENERATED_FOLDERS = "generated __generated__ gen vendor vendors third_party thirdparty external migrations".split()
+GENERATED_NAME = r"(?i)(_pb2(_grpc)?[.]py|[.]pb[.]\w+|[.]generated[.]\w+|[.]g[.]\w+|[.]min[.]js|[.]bundle[.]js)$"
+GENERATED_HEADER = "(?i)(auto-?generated|@generated|do not edit|generated by)"
+LANGUAGES = {"py": "python", "pyi": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "java": "java", "c": "c", "h": "c"}
 
 
 def file_name(path: Column) -> Column:
@@ -113,7 +119,7 @@ def language(path: Column) -> Column:
 def is_generated(path: Column, text: Column) -> Column:
     """By folder, by name, or by what the first five lines say."""
     head = F.array_join(F.slice(lines(text), 1, 5), "\n")
-    return F.arrays_overlap(_folders(path), F.array(*map(F.lit, ("generated", "gen", "__generated__", "autogen")))) | F.lower(file_name(path)).rlike("[._](pb2?|generated|gen|g)[.]") | head.rlike("(?i)(auto-?generated|do not edit|generated by)")
+    return F.arrays_overlap(_folders(path), F.array(*map(F.lit, GENERATED_FOLDERS))) | file_name(path).rlike(GENERATED_NAME) | head.rlike(GENERATED_HEADER)
 
 
 def code_lines(text: Column) -> Column:

@@ -13,8 +13,15 @@ from tessera.functions.parse import parse_files, table_of
 from tessera.operators.graph import merge_edges
 from tessera.operators.resolve import cascade, first_wins, suffixes
 
-#: names so common that one definition of them says little
-COMMON = "get set add put run open close read write save load find update delete remove create init start stop append pop push keys values items join split format print map filter next send copy clear sort size length toString equals hashCode".split()
+# Method names that built-in types have, and receivers that are globals of a language; a call by such a name alone is never linked.
+COMMON = (
+    "get set add append extend insert pop push shift remove delete clear copy update keys values items has map filter reduce forEach find some every "
+    "includes indexOf index count sort reverse slice splice concat join split replace strip trim lower upper format startswith endswith startsWith endsWith "
+    "toString valueOf equals hashCode size length isEmpty contains then catch finally resolve reject log error warn info debug read write open close "
+    "send emit on off call apply bind next run start stop encode decode load loads dump dumps parse stringify json print println exec match "
+    "test search execute fetch all first save"
+).split()
+GLOBALS = "globalThis window global document console navigator Math JSON Object Array Promise Reflect Number String Date process Buffer os sys System".split()
 
 
 def _climb(folder, dots):
@@ -107,7 +114,8 @@ def link_calls(definitions: DataFrame, calls: DataFrame, bindings: DataFrame, re
     declared = dotted.where("receiver_type IS NOT NULL").join(typed, "receiver_type").join(member, ["owner", "name"])
     untyped = dotted.where("receiver_type IS NOT NULL").join(typed, "receiver_type", "left_anti")
     unique = definitions.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("target")).where("n = 1").where(~F.col("name").isin(*COMMON)).select("name", "target")
-    guessed = calls.where("receiver IS NOT NULL AND NOT receiver IN ('self', 'this', 'cls', '?') OR language = 'c'").join(unique, "name").where("target <> caller")
+    known = F.substring_index("receiver", ".", 1).isin(*GLOBALS)
+    guessed = calls.where("receiver IS NOT NULL AND NOT receiver IN ('self', 'this', 'cls', '?') OR language = 'c'").where(F.col("receiver").isNull() | ~known).join(unique, "name").where("target <> caller")
     found = cascade(
         [rule(declared, 1), veto(untyped, 2), rule(own, 3), rule(inner, 4), rule(beside, 5), rule(java, 6), rule(same, 7), rule(through, 8), veto(outside, 9), rule(starred, 10), rule(partner, 11), rule(on_module, 12), rule(on_class, 13), veto(gone, 14), rule(local_class, 15), rule(guessed, 16, "medium")]
     )

@@ -123,15 +123,26 @@ def retrieve(chunks: DataFrame, links: DataFrame, question: str, k: int = 6, mos
     return found.orderBy("kind", F.desc("score"), "rank", "place").limit(most).select("id", "score", "reason", "via_guess")
 
 
-#: Fixed values of the expansion table: everyday words and what code calls them.
-SYNONYMS = {"save": "store write persist", "load": "read open fetch", "delete": "remove drop", "show": "render display print", "start": "run begin init", "check": "validate verify test", "error": "exception fail raise", "login": "auth sign session"}
+# Everyday words and what code calls them.
+SYNONYMS = {
+    "loop": "for while repeat", "loops": "for while repeat", "repeat": "for while",
+    "menu": "switch case choice menu", "choice": "switch case", "options": "switch case",
+    "print": "printf print println puts log", "show": "printf print println display",
+    "display": "printf print println", "input": "scanf input readline nextInt read",
+    "type": "scanf input", "types": "scanf input", "read": "scanf input read load",
+    "save": "save write store dump", "store": "save write store", "load": "load read open",
+    "divide": "divide division", "add": "add sum plus", "sum": "sum add total",
+    "average": "average mean", "biggest": "max largest", "largest": "max largest",
+    "password": "password hash", "log": "login", "logs": "login", "login": "login auth",
+    "check": "check verify if", "error": "error except catch raise",
+}
 
 
 def synonyms_of(word: str) -> list[str]:
-    """The entry of a word or of its plain form (without s, d, ed, ing)."""
+    """The entry of a word or of its plain form (without s, d, ed, ing), and that form."""
     for w in (word, *(word[: -len(s)] for s in ("s", "d", "ed", "ing") if word.endswith(s))):
         if w in SYNONYMS:
-            return SYNONYMS[w].split()
+            return [*SYNONYMS[w].split(), w]
     return []
 
 

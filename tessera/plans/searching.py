@@ -10,6 +10,7 @@ from tessera.session import table
 
 QUESTION = "when erased things and thereof onions are loaded"
 RAW_QUESTION = "that order_and the on"
+SYNONYM_QUESTION = "who printed averages of other erea inan thon"
 #: v1 tokens of documents, in SQL
 TOKENS = f"""
 tw AS (SELECT doc_id AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z][A-Za-z0-9]*')) AS w FROM documents),
@@ -88,7 +89,7 @@ def retrieve_expand(spark, d):
 
 
 def synonym_search(spark, d):
-    return S.synonym_search(chunks(spark, d), "who started loading the errors")
+    return S.synonym_search(chunks(spark, d), SYNONYM_QUESTION)
 
 
 def path_confidence(spark, d):
@@ -107,7 +108,7 @@ def language_table(spark, d):
     return docs.crossJoin(total).select("lang", "files", "lines", F.bround(100 * F.col("lines") / F.col("total")).cast("long").alias("percent"))
 
 
-SYN = " ".join(["who started loading the errors", *(s for w in "who started loading the errors".split() for s in S.synonyms_of(w))])
+SYN = " ".join([SYNONYM_QUESTION, *(s for w in SYNONYM_QUESTION.split() for s in S.synonyms_of(w))])
 _RAW = {w: S.raw_words_of(RAW_QUESTION).count(w) for w in S.raw_words_of(RAW_QUESTION)}
 RAW_TOKENS = """
 rw AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z_][a-z0-9_]*')) AS w FROM documents),

@@ -233,7 +233,7 @@ SELECT g.path, coalesce(own, CASE WHEN ai IS NOT NULL AND guess <> 'Tests' THEN
     "skip_reason": f"""WITH {PATHS} SELECT CASE WHEN len(list_filter(parts[:-2], lambda f: list_contains({C.SKIP_FOLDERS}, f) OR starts_with(f, '.'))) > 0 THEN 'library or hidden folders' WHEN starts_with(lower(name), '.env') THEN 'secret files' WHEN lower(name) = 'readme.md' THEN 'kept'
 WHEN NOT list_contains({list(C.LANGUAGES)}, {_EXT}) THEN 'not code' WHEN contains(lower(name), '.min.') THEN 'generated code' ELSE 'kept' END AS reason, count(*) AS n FROM p GROUP BY 1""",
     "language_guess": f"WITH {PATHS} SELECT page_id, CASE {_EXT} {' '.join(f"WHEN '{e}' THEN '{x}'" for e, x in C.LANGUAGES.items())} ELSE 'other' END AS language FROM p",
-    "generated_detector": "SELECT doc_id, doc_id % 9 = 0 OR regexp_matches(array_to_string(string_split(text, chr(10))[1:5], chr(10)), '(?i)(auto-?generated|do not edit|generated by)') AS generated FROM documents",
+    "generated_detector": f"SELECT doc_id, doc_id % 9 = 0 OR regexp_matches(array_to_string(string_split(text, chr(10))[1:5], chr(10)), '{C.GENERATED_HEADER}') AS generated FROM documents",
     "trivial_detector": f"SELECT doc_id, n AS code_lines, CASE WHEN n = 0 THEN 'empty' WHEN n <= 3 THEN 'very small: ' || n || ' line(s)' END AS said FROM (SELECT doc_id, CAST(len(list_filter({_LINES}, lambda l: NOT regexp_matches(trim(l), '^(#|//|/[*]|[*])'))) AS BIGINT) AS n FROM documents)",
     "first_sentence": f"SELECT doc_id, CASE WHEN regexp_extract(f, '^(.*?[.!?])( |$)', 1) <> '' THEN regexp_extract(f, '^(.*?[.!?])( |$)', 1) ELSE f END AS said FROM (SELECT doc_id, {_FLAT} AS f FROM documents)",
     "clip": f"SELECT doc_id, CASE WHEN length(f) <= 80 THEN f ELSE rtrim(left(f, 79)) || '…' END AS said FROM (SELECT doc_id, {_FLAT} AS f FROM documents)",
