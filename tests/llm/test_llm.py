@@ -96,6 +96,31 @@ def test_hashes_tell_words_apart():
     assert words.sliding_min(h, 3).tolist() == [min(h[i : i + 3]) for i in range(6)]
 
 
+def test_hashes_of_long_texts_are_those_of_their_parts():
+    part = b" ".join(b"w%d" % i for i in range(5000))
+    long = b"\n".join([part] * 60)
+    assert len(long) > 3 * words.CHUNK
+    h, first = words.hashed([b"a b", long, b"", b"w7"])
+    one, _ = words.hashed([part])
+    assert list(first) == [0, 2, 300_002, 300_002, 300_003]
+    assert (h[2:300_002].reshape(60, 5000) == one).all() and h[-1] == one[7]
+    unbroken, _ = words.hashed([b"x" * (3 * words.CHUNK) + b" y"])
+    assert len(unbroken) == 2
+
+
+def test_encoder_of_long_texts():
+    import numpy as np
+
+    e = packing.Encoder(packing.default_tokenizer(), 1 << 12)
+    texts = ["Ä, b. İx, ı. ﬁ, x×, y÷. »a«, ... a., a.b. don't, can't. 3,5 3, é. ñ, É <|endoftext|> c\x1cd,\x1fe", "中文, 日本. ẞ, ǅ. K, Å. 힣.", "", " ", ",", "a,", ",a", "Σ, ΟΔΟΣ. ς", "'s, 't. it's."]
+    for got, t in zip(e.texts([t.encode() for t in texts]), texts, strict=True):
+        assert got.tolist() == e._ids(t)
+    part = " ".join(f"word{i}, Other{i % 7}." for i in range(900)).encode()
+    long = b"\n".join([part] * 90)
+    assert len(long) > 2 * words.CHUNK
+    assert (e.whole(long) == np.tile(e.whole(part), 90)).all()
+
+
 def test_quality(spark, docs, plain, empty):
     def brute(t):
         w = SPACE.findall(t or "")
