@@ -172,14 +172,16 @@ def join(documents: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     known = docs.where("doc_id IS NOT NULL")
     profile = staged(docs.mapInArrow(_profile(k), "doc_id long, n long, one long, two long, low array<long>"), "profile")
     full = profile.where("n > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"))
-    member = staged(full.select("doc_id", "n", "one", "two").join(classes, ["n", "one", "two"]).select("doc_id", "rep").distinct(), "members")
-    reps = staged(full.join(classes, ["n", "one", "two"]).where("doc_id = rep").groupBy("doc_id").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("low").alias("low")), "reps")
+    # classes of two rows or more are written first, so that a large one's rows meet them in a join that AQE can split
+    several = full.groupBy("n", "one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    tagged = staged(full.join(staged(several, "classes"), ["n", "one", "two"], "left").select("doc_id", "n", "low", F.coalesce("rep", "doc_id").alias("rep")), "tagged")
+    member = tagged.select("doc_id", "rep").distinct()
+    reps = staged(tagged.where("doc_id = rep").groupBy("doc_id").agg(F.min("n").alias("low_n"), F.max("n").alias("high_n"), F.min("low").alias("low")), "reps")
     # groups: a class and the least that shares two minimum hashes with it, if they link
     twos = F.array(*(F.xxhash64(F.get("low", F.lit(i)), F.get("low", F.lit(j))) for i in range(len(SEEDS)) for j in range(i)))
     low = reps.select("doc_id", "low_n", "high_n", F.posexplode(twos).alias("seed", "hash"))
     least = low.groupBy("seed", "hash").agg(F.min(F.struct("doc_id", "low_n", "high_n")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    pairs = low.join(least, ["seed", "hash"]).where("doc_id <> first.doc_id AND 4 * least(high_n, first.high_n) >= 3 * greatest(low_n, first.low_n)")
+    pairs = low.join(staged(least, "least"), ["seed", "hash"]).where("doc_id <> first.doc_id AND 4 * least(high_n, first.high_n) >= 3 * greatest(low_n, first.low_n)")
     pairs = staged(pairs.select(F.col("doc_id").alias("b"), F.col("first.doc_id").alias("a")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
     links = staged(_verified(known, pairs, k, "held"), "links")
