@@ -1,38 +1,17 @@
-"""What the operators share: shared folders, shipping of code to workers, clean-up of spent shuffles."""
+"""What the operators share: shared folders, clean-up of spent shuffles."""
 
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import tessera
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send the package's source to the Python workers, once for each application, so that a cluster
-    without the repository installed can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.abspath(tessera.__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera"), "tessera.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    z.write(full, os.path.join("tessera", os.path.relpath(full, root)))
-    spark.sparkContext.addPyFile(path)
-    _shipped.add(app)
+from tessera.session import ship
 
+__all__ = ["release", "remove", "shared_dir", "ship", "staged", "texts"]
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""

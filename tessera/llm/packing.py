@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, ship, staged, texts
-from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans, trim
+from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
@@ -186,9 +186,7 @@ def _encode(path: str, window: int, vocabulary: int):
         encoder, pack = _encoders[path], zstandard.ZstdCompressor(level=1).compress
         df = np.zeros(vocabulary, np.int64)
         seen = False
-        for number, chunk in enumerate(chunks(rows(batches, "doc_id", "text"))):
-            if number % 16 == 15:
-                trim()
+        for chunk in chunks(rows(batches, "doc_id", "text")):
             out = defaultdict(list)
             every = encoder.texts([t for _, t in chunk]) if len(chunk) > 1 else [encoder.whole(chunk[0][1])]
             for (doc_id, _), own in zip(chunk, every, strict=True):
@@ -201,7 +199,6 @@ def _encode(path: str, window: int, vocabulary: int):
                 out["crcs"].append([zlib.crc32(ids[window * i : window * (i + 1)].astype("<u4").tobytes()) for i in range(whole)])
                 out["rest"].append(pack(ids[whole * window :].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["rest"], pa.binary())], ["doc_id", "n", "crcs", "rest"])
-        trim()
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([pack(df.tobytes())], pa.binary())], ["doc_id", "n", "crcs", "rest"])
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, staged, texts
-from tessera.llm.words import LOWER, PLAIN, grams, hashed, rows
+from tessera.llm.words import LOWER, PLAIN, grams, hashed, rows, trim
 
 #: Insults in general use.
 LEXICON = {
@@ -36,6 +36,8 @@ LEXICON = {
     "es": "idiota estúpido estúpida mierda imbécil basura escoria asqueroso patético inútil cabrón pendejo".split(),
 }
 PREFIXES = (4, 5, 6, 7)
+#: candidates that a task counts at once
+MOST_COUNTED = 100_000
 HELD_OUT = 2
 
 
@@ -186,16 +188,25 @@ def _counts(x: Look) -> np.ndarray:
 
 
 def _count_candidates(batches):
-    """Rows (entry, clean, toxic): in how many texts."""
+    """Rows (entry, clean, toxic): in how many texts, in parts that are summed later."""
     import pyarrow as pa
 
     clean, toxic = Counter(), Counter()
+
+    def flush():
+        every = list(clean.keys() | toxic.keys())
+        for i in range(0, len(every), 1 << 14):
+            part = every[i : i + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([clean[w] for w in part], pa.int64()), pa.array([toxic[w] for w in part], pa.int64())], ["entry", "clean", "toxic"])
+        clean.clear()
+        toxic.clear()
+
     for text, label in rows(batches, "text", "label"):
         (toxic if label else clean).update(candidates(set(text.translate(PLAIN).split())))
-    every = list(toxic | clean)
-    for i in range(0, len(every), 1 << 15):
-        part = every[i : i + (1 << 15)]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([clean[w] for w in part], pa.int64()), pa.array([toxic[w] for w in part], pa.int64())], ["entry", "clean", "toxic"])
+        if len(clean) + len(toxic) > MOST_COUNTED:
+            yield from flush()
+    yield from flush()
+    trim()
 
 
 def _shape(batches):

@@ -108,16 +108,19 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def chunks(rows: Iterator[tuple], size: int = CHUNK) -> Iterator[list[tuple]]:
-    """Rows (key, bytes, ...) in lists of about `size` bytes; a longer text comes alone."""
-    held, total = [], 0
+    """Rows (key, bytes, ...) in lists of about `size` bytes; a longer text comes alone. Between them freed memory goes back now and then."""
+    held, total, number = [], 0, 0
     for row in rows:
         if held and total + len(row[1]) > size:
             yield held
-            held, total = [], 0
+            held, total, number = [], 0, number + 1
+            if number % 32 == 0:
+                trim()
         held.append(row)
         total += len(row[1])
     if held:
         yield held
+    trim()
 
 
 def rows(batches, *names: str) -> Iterator[tuple]:
