@@ -126,10 +126,13 @@ def repeated(documents: DataFrame, window: int = 13, start: int = 7) -> DataFram
     for k in lengths(window, start):
         keys = live.mapInArrow(_emit(window, k, before), "key long, doc_id long")
         seen = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
+        seen = staged(seen, f"seen-{k}")  # so that the counts' shuffle is gone before keys are shuffled to be joined
+        release(spark)
         met = keys.join(seen.hint("shuffle_hash"), "key")
         if k == window:
             met = met.where("doc_id > least")
         met = staged(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), f"repeated-{k}")
+        remove(seen)
         if before is not None:
             remove(live)
         release(spark)
