@@ -63,8 +63,8 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys = np.zeros(self.slots, np.uint64)
-        self.at = np.zeros(self.slots, np.int32)
-        self.size = np.zeros(self.slots, np.uint16)
+        self.at = np.zeros(self.slots, np.int64)
+        self.size = np.zeros(self.slots, np.int64)  # a word may have any number of ids
         self.flat, self.used, self.count = np.zeros(1 << 16, self.small), 0, 0
 
     def _find(self, h: np.ndarray) -> np.ndarray:
@@ -145,7 +145,7 @@ class Encoder:
                 raise ValueError("more different words in one chunk than the table holds")
             self._put(new, self._encode([low[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]))
             slot = self._find(h)
-        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        at, size = self.at[slot], self.size[slot]
         total = np.cumsum(size)
         ids = self.flat[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
         edge = np.concatenate([[0], total])[np.searchsorted(s, np.cumsum([1, *(len(d) + 1 for d in docs)]))]
