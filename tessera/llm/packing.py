@@ -3,9 +3,10 @@
 1. Texts are encoded. White space never takes part in a token of this tokenizer, so words are encoded on their own and kept in a
    bounded table on each worker. What a long document has in whole windows becomes sequences of its own; its rest, shorter than a window, goes on.
 2. Document frequencies of all tokens over all documents are summed (as many rows as the vocabulary has), and the rests are dealt to shards of about
-   `shard_tokens` tokens by hash, so that no shard depends on a source or key.
+   `shard_tokens` tokens by content, so that neighbours meet: their BM25 weights are projected to `DIMENSIONS` numbers, and a tree of two-means cuts, grown on
+   a sample of at most `SAMPLE` rests, leads each to its shard. Rests that the tree can't tell apart (many equal copies, or fewer than `LEAST` sampled) share their shards by hash.
 3. Each shard has its own inverted index with BM25 weights. Longest first, a document not yet used seeds a window; the index scores all documents that share a token with it;
-   unused ones are taken in order of score while they fit. When none of the best fits, the best of them is cut to fill the window, and its
+   unused ones are taken in order of score while they fit. Documents of other shards aren't seen; README has the share of neighbours that is lost so. When none of the best fits, the best of them is cut to fill the window, and its
    rest stays in the index. Only the last window of a shard has padding.
 
 Defined results: null and empty texts are the end token alone; a null doc_id and repeated rows are documents like others; other columns are
@@ -23,13 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, ship, staged, texts
-from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans
+from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans, trim
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
 SLOTS = 1 << 21
 K1, B = 1.2, 0.75
 BEST = 48
+#: for dealing rests to shards: numbers a rest is projected to, rests the tree grows on, fewest of them that are cut
+DIMENSIONS, SAMPLE, LEAST = 64, 1 << 16, 4
 _encoders: dict[str, Encoder] = {}
 
 
@@ -277,6 +280,131 @@ def fill(sizes: list[int], neighbours, window: int = WINDOW) -> list[list[tuple[
     return out
 
 
+class Dealer:
+    """The shard of a rest, by its content."""
+
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf.astype(np.float32)
+        self.nodes = [(-1, -1, 0.0, 0, 1)]  # left, right (-1 in a leaf), threshold, first shard, shards
+        self.cuts = np.zeros((1, DIMENSIONS), np.float32)
+        self.projection = None
+
+    def vectors(self, rests: list[np.ndarray]) -> np.ndarray:
+        """Unit vectors of projected weights; of an empty rest, zeros."""
+        if self.projection is None:
+            self.projection = np.random.Generator(np.random.PCG64(20240607)).standard_normal((len(self.idf), DIMENSIONS), np.float32)
+        out = np.zeros((len(rests), DIMENSIONS), np.float32)
+        for i, ids in enumerate(rests):
+            if len(ids):
+                t, tf = _terms(ids)
+                weight = self.idf[t] * (tf / (tf + K1)).astype(np.float32)
+                out[i] = weight @ self.projection[t]
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), np.float32(1e-9))
+
+    def grow(self, vectors: np.ndarray, sizes: np.ndarray, shards: int) -> None:
+        """Cut the sample until each leaf has its one shard."""
+        nodes, cuts = [None], [np.zeros(DIMENSIONS, np.float32)]
+        todo = [(0, np.arange(len(vectors)), 0, shards)]
+        while todo:
+            at, own, first, n = todo.pop()
+            cut = self._cut(vectors[own], sizes[own], n) if n > 1 and len(own) >= LEAST else None
+            if cut is None:
+                nodes[at] = (-1, -1, 0.0, first, n)
+                continue
+            direction, threshold, left, n_left = cut
+            nodes[at], cuts[at] = (len(nodes), len(nodes) + 1, threshold, first, n), direction
+            todo += [(len(nodes), own[left], first, n_left), (len(nodes) + 1, own[~left], first + n_left, n - n_left)]
+            nodes += [None, None]
+            cuts += [cuts[0]] * 2
+        self.nodes, self.cuts = nodes, np.array(cuts, np.float32)
+
+    @staticmethod
+    def _cut(v: np.ndarray, sizes: np.ndarray, n: int):
+        """Direction, threshold, which are left of it, and their number of shards; None where all are alike."""
+        centred = v - v.mean(0)
+        side = centred @ np.linalg.eigh(centred.T.astype(np.float64) @ centred)[1][:, -1].astype(np.float32) < 0
+        for _ in range(8):
+            if side.all() or not side.any():
+                return None
+            a, b = v[side].mean(0), v[~side].mean(0)
+            now = v @ (b - a) < (b - a) @ (a + b) / 2
+            if (now == side).all():
+                break
+            side = now
+        direction = (b - a).astype(np.float32)
+        along = v @ direction
+        order = np.argsort(along, kind="stable")
+        mass = np.cumsum(sizes[order], dtype=np.float64)
+        # as much of the tokens as whole shards hold, next to the cut of the means
+        aim = min(n - 1, max(1, round(n * float(sizes[side].sum()) / mass[-1]))) / n
+        threshold = float(along[order[min(len(v) - 1, int(np.searchsorted(mass, aim * mass[-1])) + 1)]])
+        left = along < np.float32(threshold)
+        if left.all() or not left.any():
+            return None
+        return direction, threshold, left, min(n - 1, max(1, round(n * float(sizes[left].sum()) / mass[-1])))
+
+    def shards(self, rests: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        left, right, threshold, first, n = (np.array(x) for x in zip(*self.nodes, strict=True))
+        at = np.zeros(len(rests), np.int64)
+        if left[0] >= 0:
+            v = self.vectors(rests)
+            while len(open_ := np.flatnonzero(left[at] >= 0)):
+                node = at[open_]
+                at[open_] = np.where((v[open_] * self.cuts[node]).sum(1) < threshold[node], left[node], right[node])
+        return first[at] + hashes % n[at]
+
+
+def _rests(batches, small, more: str):
+    """Batches of encoded documents in parts of few rows: the part, its rests, and a column of longs."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield part, [np.frombuffer(unpack(x), small) for x in part.column("rest").to_pylist()], np.array(part.column(more).to_pylist(), np.int64)
+
+
+def _sampled(dealer: Dealer, small):
+    def run(batches):
+        import pyarrow as pa
+
+        for _, rests, _ in _rests(batches, small, "h"):
+            held = [r for r in rests if len(r)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in dealer.vectors(held)], pa.binary()), pa.array([len(r) for r in held], pa.int64())], ["v", "size"])
+
+    return run
+
+
+def _deal(dealer: Dealer, small):
+    def run(batches):
+        import pyarrow as pa
+
+        for part, rests, h in _rests(batches, small, "h"):
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "n", "crcs", "rest")), pa.array(dealer.shards(rests, h), pa.int64())], ["doc_id", "n", "crcs", "rest", "shard"])
+        trim()
+
+    return run
+
+
+def deal(encoded: DataFrame, idf: np.ndarray, count: int, shards: int) -> DataFrame:
+    """Rows of documents with their shard."""
+    held = encoded.where("n >= 0")
+    if shards == 1:
+        return held.withColumn("shard", F.lit(0).cast("long"))
+    small = np.uint16 if len(idf) <= 1 << 16 else np.uint32
+    dealer = Dealer(idf)
+    hashed = held.withColumn("h", F.xxhash64("doc_id", "rest").bitwiseAND(F.lit((1 << 62) - 1)))
+    sample = hashed.where(F.col("h") % -(-count // SAMPLE) == 0)
+    got = sorted((bytes(r["v"]), r["size"]) for r in sample.mapInArrow(_sampled(dealer, small), "v binary, size long").collect())  # about SAMPLE rows of DIMENSIONS numbers
+    dealer.projection = None  # made anew where it's used
+    if got:
+        dealer.grow(np.frombuffer(b"".join(v for v, _ in got), np.float32).reshape(-1, DIMENSIONS), np.array([n for _, n in got]), shards)
+    else:
+        dealer.nodes = [(-1, -1, 0.0, 0, shards)]
+    return hashed.mapInArrow(_deal(dealer, small), "doc_id long, n long, crcs array<long>, rest binary, shard long")
+
+
 def _pack(window: int, vocabulary: int, idf: np.ndarray, mean: float):
     def run(table):
         import pyarrow as pa
@@ -330,7 +458,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
         df[r.token] = r.df
     idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
     shards = max(1, round(rest / shard_tokens))
-    dealt = encoded.where("n >= 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "rest"), F.lit(shards)))
+    dealt = deal(encoded, idf, count, shards)
     release(spark)
     return dealt.groupBy("shard").applyInArrow(_pack(window, vocabulary, idf, max(1.0, tokens / max(1, count))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -1,8 +1,10 @@
-"""Packing: words of any length keep all their ids."""
+"""Packing: words of any length keep all their ids, neighbours meet in a shard."""
 
 import base64
 import random
 
+from tokenizers import Tokenizer
+
 from tessera.llm import packing
 
 
@@ -14,3 +16,27 @@ def test_words_of_more_than_65535_ids():
         want = e._ids(text)
         assert len(want) > 1 << 16
         assert e.whole(text.encode()).tolist() == want
+
+
+def test_neighbours_meet_in_a_shard(spark):
+    r = random.Random(5)
+    words = sorted(w[:-4] for w in Tokenizer.from_file(packing.default_tokenizer()).get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 8)
+    topics = [words[60 * k : 60 * k + 60] for k in range(16)]
+    rows = [(16 * i + k, " ".join(r.choices(topics[k], k=60))) for i in range(30) for k in range(16)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=512, shard_tokens=2_000).collect()
+    shards = {}
+    for p in got:
+        shards.setdefault(p.doc_id, set()).add(p.sequence_id >> 32)
+    assert len(set.union(*shards.values())) > 8
+    # of two documents of a topic, most often both are in one shard; dealt by hash one in 16 or so would be
+    together = [bool(shards[a] & shards[b]) for k in range(16) for a in range(k, 480, 16) for b in range(k, a, 16)]
+    assert sum(together) > 0.5 * len(together)
+
+
+def test_equal_copies_are_spread_over_shards(spark):
+    rows = [(i, "the same words again and again " * 10) for i in range(300)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_tokens=3_000).collect()
+    sizes = {}
+    for p in got:
+        sizes[p.sequence_id >> 32] = sizes.get(p.sequence_id >> 32, 0) + p.length
+    assert len(sizes) > 3 and max(sizes.values()) < 8_000
