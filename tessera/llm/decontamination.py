@@ -8,8 +8,8 @@ The benchmark is cut into blocks of at most `block_bytes` of text, by hash of th
 scan of the documents. So what a task holds is bounded; one block is the usual case.
 
 Defined results: null and empty texts have no words and no hits; items without words match nothing; equal items all count;
-repeated rows of documents each get a result; a null doc_id is kept as null when there is one block (with several, rows are
-merged by doc_id and text hash). Other columns are ignored.
+repeated rows of documents each get a result; a null doc_id is kept as null. With several blocks, what each found is merged by doc_id
+(nulls are equal) and SHA-256 of the text, so that results are those of one block. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ class Searcher:
                 i += 1
 
 
-def _search(items, window):
+def _search(items, window, every_digest=False):
     def run(batches):
         import pyarrow as pa
 
@@ -87,10 +87,13 @@ def _search(items, window):
                 for start, m, who in sorted(searcher.occurrences(words), key=lambda x: x[:2]):
                     found |= who
                     if start + m > upto:
-                        hit.append((max(start, upto), start + m))
+                        if hit and start <= upto:
+                            hit[-1] = (hit[-1][0], start + m)
+                        else:
+                            hit.append((start, start + m))
                         upto = start + m
                 out["doc_id"].append(doc_id)
-                out["digest"].append(hashlib.sha256(text).digest() if hit else b"")
+                out["digest"].append(hashlib.sha256(text).digest() if hit or every_digest else b"")
                 out["n_words"].append(len(words))
                 out["spans"].append([x for span in hit for x in span])
                 out["items"].append(sorted(found))
@@ -113,6 +116,11 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 def search(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """For each document: doc_id, n_words, spans (start, end, start, end ... of the words hit, merged, in order), items
     (ids, sorted, of the items with an occurring window)."""
+    return _found(documents, benchmark, window, block_bytes).drop("digest")
+
+
+def _found(documents: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """search() with the digest of each text that is hit (with several blocks, of each text)."""
     spark = documents.sparkSession
     ship(spark)
     docs = texts(documents)
@@ -123,9 +131,9 @@ def search(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_b
         held = [(r.item, bytes(r.text)) for r in block.collect()]  # block_bytes bounds it
         parts.append(docs.mapInArrow(_search(held, window), schema))
     if len(held_blocks) == 1:
-        return parts[0].drop("digest")
+        return parts[0]
     # several blocks: what each found is merged, row by row of the documents
-    every = docs.mapInArrow(_search([], window), schema).drop("digest")
+    every = docs.mapInArrow(_search([], window, every_digest=True), schema).select("doc_id", "digest", "n_words")
     hits = parts[0].where(F.size("spans") > 0)
     for part in parts[1:]:
         hits = hits.unionByName(part.where(F.size("spans") > 0))
@@ -137,27 +145,31 @@ def search(documents: DataFrame, benchmark: DataFrame, window: int = 13, block_b
         .when(x["s"] > F.element_at(acc, -1), F.concat(acc, F.array(x["s"], x["e"])))
         .otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.greatest(F.element_at(acc, -1), x["e"])))),
     )
-    hits = hits.groupBy("doc_id").agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return every.select("doc_id", "n_words").join(hits, "doc_id", "left").select(
-        "doc_id", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    hits = hits.groupBy(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).agg(merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return every.join(hits, every["doc_id"].eqNullSafe(hits["hit_id"]) & (every["digest"] == hits["hit_digest"]), "left").select(
+        "doc_id", "digest", "n_words", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, share: float = 0.05, **settings) -> DataFrame:
     """search() with n_hit and contaminated: a word is hit, and the words hit are at least `share` of all."""
-    found = search(documents, benchmark, **settings)
+    return _judged(search(documents, benchmark, **settings), share)
+
+
+def _judged(found: DataFrame, share: float) -> DataFrame:
     ends = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["n"] + a["sign"] * x).alias("n"), (-a["sign"]).alias("sign")), lambda a: a["n"])
     return found.withColumn("n_hit", ends).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(share) * F.col("n_words")))
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.05, window: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `documents`, all columns, that aren't contaminated. With several blocks, rows of one doc_id go if any of them is."""
+    """The rows of `documents`, all columns, that aren't contaminated."""
     spark = documents.sparkSession
     ship(spark)
     held = benchmark_blocks(benchmark, block_bytes)
     if len(held) > 1:
-        gone = decontaminate(documents, benchmark, share, window=window, block_bytes=block_bytes).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
-        return documents.join(gone.hint("shuffle_hash"), documents["doc_id"] == gone["gone"], "left_anti")
+        gone = _judged(_found(documents, benchmark, window, block_bytes), share).where("contaminated").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest")).distinct()
+        digest = F.unhex(F.sha2(F.coalesce(documents["text"].cast("string"), F.lit("")).cast("binary"), 256))
+        return documents.join(gone.hint("shuffle_hash"), documents["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (digest == gone["gone_digest"]), "left_anti")
     items = [(r.item, bytes(r.text)) for r in held[0].collect()]  # block_bytes bounds it
 
     def run(batches):
