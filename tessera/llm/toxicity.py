@@ -39,6 +39,7 @@ PREFIXES = (4, 5, 6, 7)
 #: candidates that a task counts at once
 MOST_COUNTED = 100_000
 HELD_OUT = 2
+CAPITALS = bytes(range(65, 91))
 
 
 class Entries(NamedTuple):
@@ -96,8 +97,8 @@ def look(text: bytes, entries: Entries) -> Look:
     if voting:
         held = {w for w in words if any(i < entries.strong for i in entries.found({w}))}
         hits = sum(w in held for w in listed)
-    letters = len(text) - text.count(b" ")
-    return Look(found, voting, len(listed), hits, sum(a != b for a, b in zip(text[:2000], text[:2000].translate(LOWER), strict=True)) / max(1, min(letters, 2000)) if voting else 0.0, text.count(b"!"), any(a in plain for a in ADDRESS) if voting else False)
+    letters, capitals = len(text) - text.count(b" "), len(text) - len(text.translate(None, CAPITALS))
+    return Look(found, voting, len(listed), hits, capitals / max(1, letters) if voting else 0.0, text.count(b"!"), any(a in plain for a in ADDRESS) if voting else False)
 
 
 VOTERS = ("general", "mined 0", "mined 1", "mined 2", "two entries", "dense", "shouting", "address", "none", "given")
