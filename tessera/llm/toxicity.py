@@ -226,10 +226,11 @@ def _shape(batches):
 def mine(labelled: DataFrame, max_entries: int = 4_000) -> tuple[list[bytes], list[bytes]]:
     """Entries whose counts in toxic texts are beyond chance: those with odds of 20 or more, and the weaker ones with all words that begin with any; at
     most max_entries and twice as many."""
-    shaped = labelled.select("text", "label").mapInArrow(_shape, "text string, label int, low_a long, low_b long")
-    once = shaped.dropDuplicates(["low_a"]).dropDuplicates(["low_b"])
+    shaped = labelled.select("doc_id", "text", "label").mapInArrow(_shape, "doc_id long, text string, label int, low_a long, low_b long")
+    # near copies: both hashes and the label agree; the least doc_id stays
+    once = shaped.groupBy("low_a", "low_b", "label").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("least.text", "label")
     counted = once.select("text", "label").mapInArrow(_count_candidates, "entry binary, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kinds = labelled.groupBy("label").count().collect()  # two rows
+    kinds = once.groupBy("label").count().collect()  # two rows
     n = {r["label"]: r["count"] for r in kinds}
     if not n.get(0) or not n.get(1):
         return [], []
@@ -290,7 +291,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_e
     open_rows = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != HELD_OUT
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where(F.col("label").isin(0, 1) & open_rows).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so a broadcast of it is bounded
-    labelled = docs.join(F.broadcast(chosen), "doc_id").select("text", "label").persist()
+    labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
     try:
         entries = Entries.of(*mine(labelled, max_entries))
         source = labelled
