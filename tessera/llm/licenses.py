@@ -152,7 +152,8 @@ def _scan(batches):
             plain = text.translate(PLAIN)
             words = plain.split()
             base, found = [], []
-            if any(g in plain for g in GATES):
+            line = b" ".join(words)  # separators are one space, as rules have them
+            if any(g in line for g in GATES):
                 base, found = scanner.base(words), scanner.detections(words)
             out["doc_id"].append(doc_id)
             out["n_words"].append(len(words))
