@@ -9,7 +9,7 @@ keyed hash of the other half. Each round can be undone with the key, so differen
   ssn      ddd-dd-dddd with a valid area, group and serial: 88,902 x 9,999
   ip       dotted quads: 65,536 x 65,536
   date     yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy (or mm/dd/yyyy if only that is a date): a day among the 146,097 = 189 x 773 of its 400 years
-  iban     right modulo 97: characters after the check digits are permuted within their kind, check digits are made right
+  iban     of its country's length, right modulo 97: characters after the check digits are permuted within their kind, check digits are made right
   email    letters and digits before the top-level domain are permuted within their kind
 
 All of it is DataFrame and SQL functions, and each row is changed on its own.
@@ -29,9 +29,17 @@ ROUNDS = 8
 MARK, ESCAPED = "\x01\x02", "\x01\x03"
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: characters of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG YE", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GQ GT HN HU LB ML MA NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: the country's length first, so that what follows is left to others; any length where that doesn't end at a word's end
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") + _RIGHT for n, c in IBAN_LENGTHS.items())
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])",
-    "iban": rf"{_LEFT}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT}",
+    "iban": rf"{_LEFT}(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_RIGHT})",
     "ip": rf"(?<![0-9A-Za-z])(?<![0-9]\.){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z])(?!\.[0-9])",
     "card": rf"{_LEFT}(?:[0-9]{{13,19}}|[0-9]{{4}}(?:[ -][0-9]{{4}}){{2}}[ -][0-9]{{1,7}}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}}){_RIGHT}",
     "ssn": rf"{_LEFT}(?<!-)[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}(?!-){_RIGHT}",
