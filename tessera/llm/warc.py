@@ -5,8 +5,8 @@ largest page_id is the response, the others are revisits that refer to it. Paylo
 texts of revisits are never written.
 
 Index: the lower level is sorted lines, one a capture, of the reversed-host key of its URL, page_id, archive, offset and length, in
-compressed blocks of `block_lines`; the upper level is a sparse directory with the first key of each block and where the block is. A lookup searches the directory
-by bisection, reads one block (or the few that a key runs over), bisects it and reads the record's range. The directory has one row per block and stays a table; the driver only ever
+compressed blocks of `block_lines`; the upper level is a sparse directory with the first key of each block and where the block is. A lookup filters the whole directory
+with Spark (no bisection there), reads one block (or the few that a key runs over), bisects it and reads the record's range. The full read of the registered query walks all blocks and looks nothing up. The directory has one row per block and stays a table; the driver only ever
 holds one page of it at a time (its own first keys by file).
 
 Each attempt of a task writes an archive of its own, through a temporary name and a rename, and the capture rows that Spark commits name it. So a lost
@@ -183,7 +183,7 @@ class Archives:
         self.folder, self.directory = folder, directory
 
     def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """All records of a URL, by page_id: bisection in the directory and in a block, then a read of the record's range."""
+        """All records of a URL, by page_id: a filter of the directory, bisection in a block, then a read of the record's range."""
         key = surt(url)
         files, root = store(self.folder)
         out = []
