@@ -4,7 +4,7 @@
    bounded table on each worker. What a long document has in whole windows becomes sequences of its own; its rest, shorter than a window, goes on.
 2. Document frequencies of all tokens over all documents are summed (as many rows as the vocabulary has), and the rests are dealt to shards of about
    `shard_tokens` tokens by content, so that neighbours meet: their BM25 weights are projected to `DIMENSIONS` numbers, and a tree of two-means cuts, grown on
-   a sample of at most `SAMPLE` rests, leads each to its shard. Rests that the tree can't tell apart (many equal copies, or fewer than `LEAST` sampled) share their shards by hash.
+   a sample of at most `SAMPLE` rests, leads each to its shard. Rests that the tree can't tell apart (many equal copies, or fewer than `LEAST` sampled) share their shards by a hash of doc_id and place.
 3. Each shard has its own inverted index with BM25 weights. Longest first, a document not yet used seeds a window; the index scores all documents that share a token with it;
    unused ones are taken in order of score while they fit. Documents of other shards aren't seen; README has the share of neighbours that is lost so. When none of the best fits, the best of them is cut to fill the window, and its
    rest stays in the index. Only the last window of a shard has padding.
@@ -15,7 +15,10 @@ ignored; an empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -29,11 +32,19 @@ from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, sp
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
 SLOTS = 1 << 21
+SHARDS_A_TASK = 16
 K1, B = 1.2, 0.75
 BEST = 48
 #: for dealing rests to shards: numbers a rest is projected to, rests the tree grows on, fewest of them that are cut
 DIMENSIONS, SAMPLE, LEAST = 64, 1 << 16, 4
 _encoders: dict[str, Encoder] = {}
+#: Fixed value: the expression by which the given tokenizer cuts words, as its file has it; below, what it means for letters and signs before U+0180, in lower case.
+CUT_PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_LATIN = {k: "".join(c for c in map(chr, range(0xA1, 0x180)) if unicodedata.category(c)[0] == k) for k in "LN"}
+LATIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u017f]+")
+LATIN_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN['L']}]+|[0-9{_LATIN['N']}]|[^a-z0-9{_LATIN['L']}{_LATIN['N']}]+")
+#: parts of words kept between chunks
+MOST_PARTS = 1 << 17
 
 
 class Encoder:
@@ -41,7 +52,8 @@ class Encoder:
 
     Under those rules (checked when it's made) a text's ids are its words' ids in order, whatever stands around them, and a comma or full stop between an
     ASCII letter and white space is a word of its own. Words are found and hashed in bulk and looked up in an open-addressing table by their 64-bit hashes; the
-    table is bounded and begins anew when seven tenths are full. New words are encoded together; where the word marks don't tell where each ends, one by one.
+    table is bounded and begins anew when seven tenths are full; it grows only where one chunk of text holds more different words. New words are encoded together;
+    where the word marks don't tell where each ends, one by one. Special tokens are matched in the text as it stands, and what lies between them is encoded as any text.
     """
 
     def __init__(self, path: str, slots: int = SLOTS):
@@ -49,7 +61,15 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # words that only look like special tokens in lower case
         self.bare = Tokenizer(self.tokenizer.model)
+        # the sign classes that this tokenizer cuts words by; others are left to the tokenizer itself
+        self.parts: dict[str, np.ndarray] = {}
+        self.cuts_latin = CUT_PATTERN in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"])
+        added = {a.content.encode(): i for i, a in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special_ids = {w: np.array([i], np.int64) for w, i in added.items()}
+        self.special = re.compile(b"(" + b"|".join(re.escape(w) for w in sorted(added, key=len, reverse=True)) + b")") if added else None
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.small = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
@@ -85,9 +105,8 @@ class Encoder:
             open_ = open_[~hit & (got != 0)]
         return out
 
-    def _put(self, h: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Distinct new hashes with their ids."""
-        flat, sizes = np.concatenate(ids), np.array([len(i) for i in ids])
+    def _put(self, h: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct new hashes with their ids, one after the other."""
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(flat)] = flat
@@ -103,29 +122,70 @@ class Encoder:
             left = np.setdiff1d(left, won, assume_unique=True)
             slot[left] = (slot[left] + 1) & (self.slots - 1)
 
-    def _encode(self, words: list[bytes]) -> list[np.ndarray]:
-        out: list = [None] * len(words)
-        texts = [w.decode() for w in words]
+    def _joined(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, list[int]] | None:
+        """Ids and sizes of words that are one word each to the tokenizer, encoded together; None where the marks don't tell where each ends."""
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, self.small)
+        at = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(at, prepend=0).tolist()) if len(at) == len(texts) and at[-1] == len(ids) else None
+
+    def _encode(self, words: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(numbers of the words in another order, their ids, how many each has)."""
+        texts = b"\n".join(words).decode().split("\n") if words else []
         # letters alone are one word to the tokenizer; of these, what no normaliser changes goes to the model by a shorter way
-        simple = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0180" and t.lower() == t]
-        held = set(simple)
-        letters = [i for i, t in enumerate(texts) if i not in held and t.isalpha() and t.lower().isalpha()]
-        for tokenizer, chosen in ((self.bare, simple), (self.tokenizer, letters)):
+        simple, letters, mixed, rest = [], [], [], []
+        for i, w in enumerate(words):
+            if w.isalpha():  # a-z
+                simple.append(i)
+            elif LATIN.fullmatch(t := texts[i]) and t.lower() == t:
+                (simple if t.isalpha() else mixed if self.cuts_latin else rest).append(i)
+            else:
+                (letters if t.isalpha() and t.lower().isalpha() else rest).append(i)
+        order, flats, sizes = [], [np.zeros(0, self.small)], []
+
+        def held(part, ids, n):
+            order.extend(part)
+            flats.append(ids)
+            sizes.extend(n)
+
+        for tokenizer, chosen in ((self.bare, simple), (self.plain, letters)):
             for k in range(0, len(chosen), 2000):
                 part = chosen[k : k + 2000]
-                ids = np.array(tokenizer.encode_batch_fast([" ".join([texts[i] for i in part])], add_special_tokens=False)[0].ids, self.small)
-                at = np.flatnonzero(self.ends[ids]) + 1
-                if len(at) == len(part):
-                    start = 0
-                    for i, end in zip(part, at.tolist(), strict=True):
-                        out[i] = ids[start:end]
-                        start = end
-        return [np.array(self._ids(t), self.small) if o is None else o for o, t in zip(out, texts, strict=True)]
+                got = self._joined(tokenizer, [texts[i] for i in part])
+                if got is None:
+                    rest += part
+                else:
+                    held(part, *got)
+        if mixed:  # these are cut as the tokenizer cuts them, and the few different parts are encoded
+            cut = [LATIN_PARTS.findall(texts[i]) for i in mixed]
+            if len(self.parts) > MOST_PARTS:
+                self.parts.clear()
+            new = [x for x in dict.fromkeys(x for c in cut for x in c) if x not in self.parts]
+            for k in range(0, len(new), 2000):
+                part = new[k : k + 2000]
+                got = self._joined(self.bare, part)
+                if got is not None:
+                    self.parts.update(zip(part, np.split(got[0], np.cumsum(got[1])[:-1]), strict=True))
+            for i, c in zip(mixed, cut, strict=True):
+                own = [self.parts.get(x) for x in c]
+                if any(x is None for x in own):
+                    rest.append(i)
+                else:
+                    order.append(i)
+                    flats += own
+                    sizes.append(sum(map(len, own)))
+        for i in rest:
+            own = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, self.small)
+            held([i], own, [len(own)])
+        return order, np.concatenate(flats), np.array(sizes, np.int64)
 
     def texts(self, docs: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, for texts of about a chunk together."""
+        if self.special and any(b"<" in d for d in docs):
+            split = [self.special.split(d) for d in docs]  # every second part is a special token
+            if any(len(p) > 1 for p in split):
+                own = iter(self.texts([x for p in split for x in p[::2]]))
+                return [np.concatenate([self.special_ids[x] if i % 2 else next(own) for i, x in enumerate(p)]).astype(self.small) for p in split]
         raw = b"\n".join([b"", *docs, b""])
-        special = [i for i, d in enumerate(docs) if b"<|" in d] if b"<|" in raw else []  # special tokens are matched as they stand
         low = raw.translate(LOWER)
         data = np.frombuffer(low, np.uint8)
         starts, ends = spans(data)
@@ -139,29 +199,30 @@ class Encoder:
         h = np.maximum(hash_spans(data, s, e), np.uint64(1))
         slot = self._find(h)
         if (slot < 0).any():
-            if self.count + np.count_nonzero(slot < 0) > self.slots * 7 // 10:
+            where = np.flatnonzero(slot < 0)
+            new, first = np.unique(h[where], return_index=True)
+            where = where[first]
+            if self.count + len(new) > self.slots * 7 // 10:
+                new, where = np.unique(h, return_index=True)
+                while len(new) > self.slots // 2:
+                    self.slots *= 2
                 self._clear()
-                slot[:] = -1
-            new, first = np.unique(h[slot < 0], return_index=True)
-            where = np.flatnonzero(slot < 0)[first]
-            if len(new) > self.slots // 2:
-                raise ValueError("more different words in one chunk than the table holds")
-            self._put(new, self._encode([low[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)]))
+            order, flat, sizes = self._encode([low[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)])
+            self._put(new[order], flat, sizes)
             slot = self._find(h)
         at, size = self.at[slot], self.size[slot]
         total = np.cumsum(size)
         ids = self.flat[np.repeat(at - total + size, size) + np.arange(total[-1] if len(total) else 0)]
         edge = np.concatenate([[0], total])[np.searchsorted(s, np.cumsum([1, *(len(d) + 1 for d in docs)]))]
         out = [ids[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-        for i in special:
-            out[i] = np.array(self._ids(docs[i].decode()), self.small)
         return out
 
     def whole(self, doc: bytes) -> np.ndarray:
         """The ids of a text of any length."""
-        if len(doc) <= 2 * CHUNK or b"<|" in doc:
+        if len(doc) <= 2 * CHUNK:
             return self.texts([doc])[0]
-        return np.concatenate([self.texts([p])[0] for p in pieces(doc)])
+        split = self.special.split(doc) if self.special else [doc]
+        return np.concatenate([y for i, x in enumerate(split) for y in ([self.special_ids[x]] if i % 2 else (self.texts([p])[0] for p in pieces(x)))]).astype(self.small)
 
 
 def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,17 +239,19 @@ def default_tokenizer() -> str:
 
 
 def _encode(path: str, window: int, vocabulary: int):
-    """Rows of documents: doc_id, n, crcs of whole windows, rest (zstd). One row more a task: n = -1, rest: its document frequencies."""
+    """Rows of documents: doc_id, n, crcs of whole windows, rest (zstd), place (the row's in its task, so that equal rows differ). One row more a task: n = -1, rest: its
+    document frequencies."""
 
     def run(batches):
         import pyarrow as pa
         import zstandard
+        from pyspark import TaskContext
 
         if path not in _encoders:
             _encoders[path] = Encoder(path)
         encoder, pack = _encoders[path], zstandard.ZstdCompressor(level=1).compress
         df = np.zeros(vocabulary, np.int64)
-        seen = False
+        seen, place = False, TaskContext.get().partitionId() << 40
         for chunk in chunks(rows(batches, "doc_id", "text")):
             out = defaultdict(list)
             every = encoder.texts([t for _, t in chunk]) if len(chunk) > 1 else [encoder.whole(chunk[0][1])]
@@ -201,9 +264,14 @@ def _encode(path: str, window: int, vocabulary: int):
                 out["n"].append(n)
                 out["crcs"].append([zlib.crc32(ids[window * i : window * (i + 1)].astype("<u4").tobytes()) for i in range(whole)])
                 out["rest"].append(pack(ids[whole * window :].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["crcs"], pa.list_(pa.int64())), pa.array(out["rest"], pa.binary())], ["doc_id", "n", "crcs", "rest"])
+                out["place"].append(place := place + 1)
+            yield batch(pa, out)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([[]], pa.list_(pa.int64())), pa.array([pack(df.tobytes())], pa.binary())], ["doc_id", "n", "crcs", "rest"])
+            yield batch(pa, {"doc_id": [None], "n": [-1], "crcs": [[]], "rest": [pack(df.tobytes())], "place": [0]})
+
+    def batch(pa, out):
+        types = {"doc_id": pa.int64(), "n": pa.int64(), "crcs": pa.list_(pa.int64()), "rest": pa.binary(), "place": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in types.items()], list(types))
 
     return run
 
@@ -394,7 +462,7 @@ def deal(encoded: DataFrame, idf: np.ndarray, count: int, shards: int) -> DataFr
         return held.withColumn("shard", F.lit(0).cast("long"))
     small = np.uint16 if len(idf) <= 1 << 16 else np.uint32
     dealer = Dealer(idf)
-    hashed = held.withColumn("h", F.xxhash64("doc_id", "rest").bitwiseAND(F.lit((1 << 62) - 1)))
+    hashed = held.withColumn("h", F.xxhash64("doc_id", "place").bitwiseAND(F.lit((1 << 62) - 1)))
     sample = hashed.where(F.col("h") % -(-count // SAMPLE) == 0)
     got = sorted((bytes(r["v"]), r["size"]) for r in sample.mapInArrow(_sampled(dealer, small), "v binary, size long").collect())  # about SAMPLE rows of DIMENSIONS numbers
     dealer.projection = None  # made anew where it's used
@@ -450,7 +518,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
     ship(spark)
     path = tokenizer or default_tokenizer()
     vocabulary = Tokenizer.from_file(path).get_vocab_size()
-    encoded = staged(texts(documents).mapInArrow(_encode(path, window, vocabulary), "doc_id long, n long, crcs array<long>, rest binary"), "encoded")
+    encoded = staged(texts(documents).mapInArrow(_encode(path, window, vocabulary), "doc_id long, n long, crcs array<long>, rest binary, place long"), "encoded")
     total = encoded.where("n >= 0").agg(F.count("*"), F.sum("n"), F.sum(F.col("n") % window)).first()
     count, tokens, rest = (int(x or 0) for x in total)
     df = np.zeros(vocabulary, np.int64)
@@ -460,6 +528,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, window: int = WINDO
     shards = max(1, round(rest / shard_tokens))
     dealt = deal(encoded, idf, count, shards)
     release(spark)
+    if shards > 1:  # some shards a task, however many there are
+        dealt = dealt.repartition(min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_TASK))), "shard")
     return dealt.groupBy("shard").applyInArrow(_pack(window, vocabulary, idf, max(1.0, tokens / max(1, count))), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

@@ -40,3 +40,21 @@ def test_equal_copies_are_spread_over_shards(spark):
     for p in got:
         sizes[p.sequence_id >> 32] = sizes.get(p.sequence_id >> 32, 0) + p.length
     assert len(sizes) > 3 and max(sizes.values()) < 8_000
+
+
+def test_special_tokens_and_many_different_words():
+    """A text of 1.5 million different words with special tokens; what looks like one only in lower case is ordinary text."""
+    e = packing.Encoder(packing.default_tokenizer(), 1 << 12)
+    for text in ("a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|", "É <|endoftext|><|endoftext|>c", "x < y <| z |>", "<|endoftext|>", "a's 'ts don'ts 1're2 ''s 's't x_y-z@q.org:80/?a=b#c $5.00 (it'll) 'd've a1b22 ~`^ é, «mot» ½ª 3²x ß! ÿ-Ā. l'été ¿qué? a\xadb c\xa0d e\x85f ŉ's \x7f\x1c"):
+        assert e.texts([text.encode(), b"one"])[0].tolist() == e._ids(text), text
+    text = " ".join(f"{i:x}" for i in range(1_500_000)) + " <|endoftext|> end <|startoftext|>"
+    got = packing.Encoder(packing.default_tokenizer()).whole(text.encode())
+    assert got[-3:].tolist() == e._ids("<|endoftext|> end <|startoftext|>")
+    at = len(e._ids(text[:4000].rpartition(" ")[0]))
+    assert got[:at].tolist() == e._ids(text[:4000].rpartition(" ")[0])
+
+
+def test_equal_rows_without_an_id_are_spread(spark):
+    rows = [(None, "the same words again and again " * 10)] * 300
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_tokens=3_000).collect()
+    assert len({p.sequence_id >> 32 for p in got}) > 3 and sum(p.length for p in got) == 300 * got[0].doc_tokens
