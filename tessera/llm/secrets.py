@@ -6,10 +6,10 @@ candidates of a rule. Candidates are verified by the expression itself on the wh
 hexadecimal runs, scan every text. All of it is DataFrame and SQL functions.
 
 Matches are found natively with their places: regexp_replace puts marks around leftmost non-overlapping matches, and the
-lengths of the pieces between marks give code-point offsets. Marks (U+0001, U+0002) in the text itself are first replaced by another control character that no
+lengths of the pieces between marks give code-point offsets, summed in blocks, so the work grows with the matches and not with their square. Marks (U+0001, U+0002) in the text itself are first replaced by another control character that no
 rule matches, so places stay right.
 
-Defined results: null and empty texts have no spans; a null doc_id is kept and scanned like others; repeated rows each get a
+Defined results: null and empty texts have no spans; a null doc_id is kept and its text tried with every rule, without the index; repeated rows each get a
 result; columns other than doc_id and text are ignored.
 """
 
@@ -41,7 +41,7 @@ class Rule(NamedTuple):
 RULES = (
     Rule("assign", r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", r"[A-Za-z0-9+/_.=-]+", 6),
     Rule("access", r"AKIA", r"[A-Z0-9]+", 16),
-    Rule("hex", r"", r"[0-9a-f]+", 24),
+    Rule("hex", r"", r"[0-9a-f]{24,}"),  # runs are maximal, so these are the runs of [0-9a-f]+ that are long enough
     Rule("forge_token", r"gh[opsur]_", r"[A-Za-z0-9]+", 36),
     Rule("chat_token", r"xox[abprs]-", r"[A-Za-z0-9-]+", 10),
     Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*", r"PRIVATE KEY-----"),
@@ -52,6 +52,9 @@ RULES = (
     Rule("bearer", r"[Bb]earer\x20+", r"[A-Za-z0-9+/_.~=-]+", 20),
 )
 BASE = 3
+#: pieces summed at once
+BLOCK = 128
+SPANS = "array<struct<start:long,rank:int,end:long,kind:string>>"
 
 
 def _cased(rule: Rule) -> str:
@@ -118,7 +121,7 @@ def trigram_query(expression: str) -> Alternatives | None:
 
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(trigram, doc_id) for the trigrams asked for: the part of the inverted index that queries read."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
+    low = docs.where("doc_id IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
     return low.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("low"), t))).alias("trigram"))
 
 
@@ -145,19 +148,38 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, lis
     return met, full
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value made once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _sums(sizes: Column, first: Column) -> Column:
+    """first, first + sizes[0], first + sizes[0] + sizes[1] ..., one more than sizes. Quadratic, so for few."""
+    return F.aggregate(sizes, F.array(first), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def starts(sizes: Column) -> Column:
+    """Where each of consecutive pieces begins, from their sizes: sums within blocks of BLOCK, then of the blocks."""
+    zero = F.lit(0).cast("long")
+    block = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
+    total = lambda b: F.aggregate(b, zero, lambda acc, x: acc + x)
+    within = lambda blocks, before: F.flatten(F.transform(blocks, lambda b, i: F.slice(_sums(b, F.get(before, i)), F.lit(1), F.size(b))))
+    return _let(sizes, lambda v: _let(block(v), lambda blocks: _let(_sums(F.transform(blocks, total), zero), lambda before: within(blocks, before))))
+
+
 def matches(text: Column, rule: Rule, order: int) -> Column:
     """array<struct<start, rank, end, kind>> of the rule's matches, by start."""
     marked = F.regexp_replace(text, f"({_cased(rule)})({rule.tail})", "\x01$1\x02$2\x01")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("inside"), F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>").alias("out"))
+    size = lambda p, i: (F.length(p) - F.when(i % 2 == 1, 1).otherwise(0)).cast("long")
+
+    def spans(pieces: Column) -> Column:
+        def of(at: Column, sizes: Column) -> Column:
+            own = F.filter(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.length(F.substring_index(F.get(pieces, i), "\x02", -1)) >= rule.least)
+            return F.transform(own, lambda i: F.struct(F.get(at, i).alias("start"), F.lit(order).alias("rank"), (F.get(at, i) + F.get(sizes, i)).alias("end"), F.lit(rule.kind).alias("kind")))
 
-    def step(acc, piece):
-        tail = F.length(F.substring_index(piece, "\x02", -1))
-        size = F.length(piece) - F.when(acc["inside"], 1).otherwise(0)
-        end = (acc["at"] + size).cast("long")
-        span = F.struct(acc["at"].alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
-        return F.struct(end.alias("at"), (~acc["inside"]).alias("inside"), F.when(acc["inside"] & (tail >= rule.least), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.when(F.size(pieces) > 2, _let(F.transform(pieces, size), lambda sizes: _let(starts(sizes), lambda at: of(at, sizes)))).otherwise(F.array().cast(SPANS))
 
-    return F.aggregate(F.split(marked, "\x01"), start, step, lambda acc: acc["out"])
+    return _let(F.split(marked, "\x01"), spans)
 
 
 def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -167,8 +189,11 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     met, full = candidates(docs, rules)
     met = met.select(F.col("doc_id").alias("met_id"), "kinds")
     docs = docs.select("doc_id", F.translate("text", "\x01\x02", "\x03\x03").alias("text"))
-    docs = docs.join(met.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("met_id")), "left")
-    none = F.array().cast("array<struct<start:long,rank:int,end:long,kind:string>>")
+    known = docs.where("doc_id IS NOT NULL")
+    known = known.join(met.hint("shuffle_hash"), known["doc_id"] == F.col("met_id"), "left").select("doc_id", "text", "kinds")
+    # rows without an id have no postings: every rule is tried, where they are
+    docs = known.unionByName(docs.where("doc_id IS NULL").withColumn("kinds", F.array(*(F.lit(r.kind) for r in rules))))
+    none = F.array().cast(SPANS)
     found = [matches(F.col("text"), r, i) if r.kind in full else F.when(F.array_contains("kinds", r.kind), matches(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
     return docs.select("doc_id", F.sort_array(F.concat(*(F.coalesce(x, none) for x in found))).alias("spans"))
 
