@@ -8,7 +8,7 @@
 3. A linear classifier (logistic, ridge) on presence of lexicon entries and pattern counts learns the posterior labels; it alone scores, and it sees the text only.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 4 is not 2, at most `max_rows` of them (least hashed ids). What is gathered
-on the driver: those rows' entries and votes, and at most `max_entries` mined entries.
+on the driver: those rows' entries and votes, and the entries mined from them, so all of it is bounded by `max_rows`.
 
 Defined results: null and empty texts are scored like any (they hold no entry); without labels, or with one kind only, nothing is mined, the
 general lexicon votes and the model is fitted without given labels on as many documents; repeated rows get equal scores; other columns are ignored.
@@ -46,6 +46,7 @@ class Entries(NamedTuple):
     """What is looked for: whole words and word beginnings (with an ellipsis as their last byte), and their numbers."""
 
     number: dict[bytes, int]
+    languages: tuple[int, ...]  # where the general lexicon's entries of each language end
     general: int  # entries below this are the general lexicon
     strong: int  # entries from this on don't vote; only the classifier weighs them
     starts: frozenset[bytes]  # the first bytes of word beginnings, to try no others
@@ -53,9 +54,10 @@ class Entries(NamedTuple):
     @staticmethod
     def of(mined: list[bytes], weak: list[bytes] = ()) -> Entries:
         general = list(dict.fromkeys(w.encode() for words in LEXICON.values() for w in words))
+        ends = tuple(len(dict.fromkeys(w for words in list(LEXICON.values())[: k + 1] for w in words)) for k in range(len(LEXICON)))
         voting = list(dict.fromkeys([*general, *mined]))
         every = list(dict.fromkeys([*voting, *weak]))
-        return Entries({w: i for i, w in enumerate(every)}, len(general), len(voting), frozenset(w[: min(PREFIXES)] for w in every if w.endswith(b"*")))
+        return Entries({w: i for i, w in enumerate(every)}, ends, len(general), len(voting), frozenset(w[: min(PREFIXES)] for w in every if w.endswith(b"*")))
 
     def found(self, words: set[bytes]) -> set[int]:
         number, starts, out = self.number, self.starts, set()
@@ -82,12 +84,19 @@ class Look(NamedTuple):
     shouts: float
     marks: int
     addressed: bool
+    commanding: bool = False  # these two are looked at for voters only
+    threatening: bool = False
 
 
+#: Phrases of address, dismissal and threat.
 ADDRESS = (b"you are a", b"you re a", b"you are an", b"you stupid", b"you all are", b"du bist", b"tu es un", b"eres un")
 
 
-def look(text: bytes, entries: Entries) -> Look:
+COMMANDS = (b"shut up", b"get lost", b"go away", b"get out of here", b"nobody asked", b"nobody likes you", b"halt den mund", b"halt die klappe", b"hau ab", b"ferme la", b"ta gueule", b"c\xc3\xa1llate", b"l\xc3\xa1rgate", b"vete a la")
+THREATS = (b"kill yourself", b"go to hell", b"drop dead", b"hope you die", b"you should die", b"i will hurt", b"rot in", b"fahr zur h\xc3\xb6lle", b"va te faire", b"mu\xc3\xa9rete")
+
+
+def look(text: bytes, entries: Entries, voters: bool = False) -> Look:
     plain = text.translate(PLAIN)
     listed = plain.split()
     words = set(listed)
@@ -98,32 +107,40 @@ def look(text: bytes, entries: Entries) -> Look:
         held = {w for w in words if any(i < entries.strong for i in entries.found({w}))}
         hits = sum(w in held for w in listed)
     letters, capitals = len(text) - text.count(b" "), len(text) - len(text.translate(None, CAPITALS))
-    return Look(found, voting, len(listed), hits, capitals / max(1, letters) if voting else 0.0, text.count(b"!"), any(a in plain for a in ADDRESS) if voting else False)
+    holds = lambda phrases: any(a in plain for a in phrases)
+    return Look(found, voting, len(listed), hits, capitals / max(1, letters) if voting else 0.0, text.count(b"!"), holds(ADDRESS) if voting else False, voters and holds(COMMANDS), voters and holds(THREATS))
 
 
-VOTERS = ("general", "mined 0", "mined 1", "mined 2", "two entries", "dense", "shouting", "address", "none", "given")
+MINED = 6
+VOTERS = (*LEXICON, *(f"mined {k}" for k in range(MINED)), "two entries", "two kinds", "dense", "very dense", "shouting", "address", "command", "threat", "marks", "none", "given")
 
 
 def votes(x: Look, entries: Entries, label: int | None) -> tuple[int, ...]:
     """By voter: 1 toxic, -1 clean, 0 none."""
     mined = [i for i in x.voting if i >= entries.general]
     return (
-        1 if any(i < entries.general for i in x.voting) else 0,
-        *(1 if any(i % 3 == k for i in mined) else 0 for k in range(3)),
-        1 if x.hits >= 2 else 0,
-        1 if x.hits > 0.01 * x.n_words else 0,
-        1 if x.shouts > 0.3 and x.voting else 0,
-        1 if x.addressed and x.voting else 0,
+        *(int(any(a <= i < b for i in x.voting)) for a, b in zip((0, *entries.languages[:-1]), entries.languages, strict=True)),
+        *(int(any(i % MINED == k for i in mined)) for k in range(MINED)),
+        int(x.hits >= 2),
+        int(bool(mined) and len(mined) < len(x.voting)),
+        int(x.hits > 0.01 * x.n_words),
+        int(x.hits > 0.04 * x.n_words),
+        int(x.shouts > 0.3 and bool(x.voting)),
+        int(x.addressed and bool(x.voting)),
+        int(x.commanding),
+        int(x.threatening),
+        int(x.marks >= 3 and bool(x.voting)),
         -1 if not x.voting else 0,
         0 if label is None else 1 if label else -1,
     )
 
 
 class LabelModel:
-    """Class-conditional vote tables, fitted to counted patterns."""
+    """Class-conditional vote tables, fitted to counted patterns of votes; the last voter is the given label."""
 
     def __init__(self, counted: dict[tuple[int, ...], int], rounds: int = 50, least: float = 0.15):
-        self.groups = [(i,) for i in range(len(VOTERS))]
+        self.voters = len(next(iter(counted)))
+        self.groups = [(i,) for i in range(self.voters)]
         self._fit(counted, rounds)
         for i, j in self._correlated(counted, least):
             self.groups = [g for g in self.groups if g not in ((i,), (j,))] + [(i, j)]
@@ -165,7 +182,7 @@ class LabelModel:
             cov = (centred * weight[:, None]).T @ centred / weight.sum()
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             strength = np.maximum(strength, np.abs(cov / np.outer(sd, sd)) * (np.outer(sd, sd) > 1e-4))
-        out, used = [], {len(VOTERS) - 1}  # the given labels stay on their own
+        out, used = [], {self.voters - 1}  # the given labels stay on their own
         for s, i, j in sorted(((strength[i, j], i, j) for i in range(len(strength)) for j in range(i)), reverse=True):
             if s > least and not {i, j} & used:
                 out.append((j, i))
@@ -223,9 +240,9 @@ def _shape(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.array([x[i] for x in low], np.uint64).view(np.int64)) for i in range(2))], [*batch.schema.names, "low_a", "low_b"])
 
 
-def mine(labelled: DataFrame, max_entries: int = 4_000) -> tuple[list[bytes], list[bytes]]:
-    """Entries whose counts in toxic texts are beyond chance: those with odds of 20 or more, and the weaker ones with all words that begin with any; at
-    most max_entries and twice as many."""
+def mine(labelled: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """Entries whose counts in toxic texts are beyond chance: those with odds of 20 or more, and the weaker ones with all words that begin with any. The
+    labelled rows are bounded, so their entries are."""
     shaped = labelled.select("doc_id", "text", "label").mapInArrow(_shape, "doc_id long, text string, label int, low_a long, low_b long")
     # near copies: both hashes and the label agree; the least doc_id stays
     once = shaped.groupBy("low_a", "low_b", "label").agg(F.min(F.struct("doc_id", "text")).alias("least")).select("least.text", "label")
@@ -241,12 +258,12 @@ def mine(labelled: DataFrame, max_entries: int = 4_000) -> tuple[list[bytes], li
     beyond = 2 * max(5.0, math.log(200 * every / 0.1) - 6)
     found = counted.where((ratio >= beyond) & (F.col("toxic") * n[0] >= 6 * F.col("clean") * n[1]))
     # of a beginning and the longer ones inside it, all may stay: the classifier weighs them
-    held = [(bytes(r["entry"]), r["toxic"] * n[0] >= 20 * r["clean"] * n[1]) for r in found.orderBy(F.desc(ratio), "entry").limit(max_entries).collect()]
+    held = [(bytes(r["entry"]), r["toxic"] * n[0] >= 20 * r["clean"] * n[1]) for r in found.orderBy(F.desc(ratio), "entry").collect()]
     starts = [w[:-1] for w, _ in held if w.endswith(b"*")]
     weak = [w for w, strong in held if not strong]
     if starts:  # words with such a beginning may be clean ones; the classifier can tell only if they are entries
         more = counted.where(" OR ".join(f"substring(entry, 1, {k}) IN ({', '.join(x)})" for k in PREFIXES if (x := [f"X'{w.hex()}'" for w in starts if len(w) == k])))
-        weak += [bytes(r["entry"]) for r in more.orderBy(F.desc(hits), "entry").limit(max_entries).collect()]
+        weak += [bytes(r["entry"]) for r in more.orderBy(F.desc(hits), "entry").collect()]
     return [w for w, strong in held if strong], weak
 
 
@@ -257,7 +274,7 @@ def _looks(entries: Entries):
         import pyarrow as pa
 
         for batch in batches:
-            out = [(look(text, entries), label) for text, label in rows([batch], "text", "label")]
+            out = [(look(text, entries, voters=True), label) for text, label in rows([batch], "text", "label")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(votes(x, entries, y)) for x, y in out], pa.list_(pa.int32())), pa.array([sorted(x.found) for x, _ in out], pa.list_(pa.int32())), pa.array([_counts(x).tolist() for x, _ in out], pa.list_(pa.float64()))],
                 ["votes", "found", "counts"],
@@ -283,7 +300,7 @@ def _logistic(found: list[list[int]], counts: np.ndarray, target: np.ndarray, en
     return w, float(bias)
 
 
-def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_entries: int = 4_000) -> Model:
+def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """The classifier, from documents and labels (doc_id, toxic)."""
     spark = documents.sparkSession
     ship(spark)
@@ -293,7 +310,7 @@ def learn(documents: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_e
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)  # so a broadcast of it is bounded
     labelled = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").persist()
     try:
-        entries = Entries.of(*mine(labelled, max_entries))
+        entries = Entries.of(*mine(labelled))
         source = labelled
         if labelled.isEmpty():
             source = docs.where(open_rows).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("text", F.lit(None).cast("int").alias("label"))
