@@ -5,14 +5,16 @@ largest page_id is the response, the others are revisits that refer to it. Paylo
 texts of revisits are never written.
 
 Index: the lower level is sorted lines, one a capture, of the reversed-host key of its URL, page_id, archive, offset and length, in
-compressed blocks of `block_lines`; the upper level is a sparse directory with the first key of each block and where the block is. A lookup filters the whole directory
-with Spark (no bisection there), reads one block (or the few that a key runs over), bisects it and reads the record's range. The full read of the registered query walks all blocks and looks nothing up. The directory has one row per block and stays a table; the driver only ever
-holds one page of it at a time (its own first keys by file).
+compressed blocks of `block_lines`; the upper level is sparse: each index file ends with a directory of its blocks (first key, last key, offset, length), and the directory table has
+one row an index file (first key, last key, where the file's directory is). A lookup bisects these rows, the file's directory and the block's lines, and then reads the record's range: after the
+first lookup in a file, two range reads for a key. Files are in order of keys, as many as the tasks that wrote them; only their rows are ever on the driver or in a task.
+
+Reading back goes the same way: the pages' distinct keys are sorted, each is bisected, and the lines found are read range by range in the archives' order.
 
 Each attempt of a task writes an archive of its own, through a temporary name and a rename, and the capture rows that Spark commits name it. So a lost
 executor's work is done again, and what a failed attempt left is never read. Any store that pyarrow.fs opens will do (file, hdfs, s3, gs).
 
-Defined results: null html is an empty payload, null urls have an empty key; rows with a null page_id are written too (as responses, never
+Defined results: null html is an empty payload, null and empty urls have one key; rows with a null page_id are written too (as responses, never
 referred to, key only by URL); repeated rows of one page_id are one record each, and the first by place is the response; an empty table has no archives.
 """
 
@@ -67,7 +69,7 @@ def record(page_id, url, payload: bytes | None, size: int, digest: str, refers_t
     head = [
         VERSION,
         f"WARC-Type: {'revisit' if payload is None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",  # rows of one page_id share it; their places tell them apart
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url or ""),
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -124,7 +126,7 @@ def _write(folder: str):
 
 
 def _blocks(folder: str, block_lines: int):
-    """Writes sorted capture lines in compressed blocks; rows of the directory."""
+    """Writes sorted capture lines in compressed blocks, then the file's directory; a row a file."""
 
     def run(batches):
         import pyarrow as pa
@@ -133,16 +135,15 @@ def _blocks(folder: str, block_lines: int):
         own = TaskContext.get()
         files, root = store(folder)
         name = f"index-{own.partitionId():06d}-{uuid.uuid4().hex[:12]}.gz"
-        partial, out, stream, at, held = f"{root}/.{name}", defaultdict(list), None, 0, []
+        partial, directory, stream, at, held, lines = f"{root}/.{name}", [], None, 0, [], 0
 
         def flush():
-            nonlocal stream, at
+            nonlocal stream, at, lines
             stream = stream or files.open_output_stream(partial, compression=None)
             data = gzip.compress(b"\n".join(held), LEVEL, mtime=0)
             stream.write(data)
-            for k, v in (("first", held[0].split(b" ")[0].decode()), ("last", held[-1].split(b" ")[0].decode()), ("file", name), ("offset", at), ("length", len(data)), ("lines", len(held))):
-                out[k].append(v)
-            at += len(data)
+            directory.append(b"%s %s %d %d" % (held[0].split(b" ")[0], held[-1].split(b" ")[0], at, len(data)))
+            at, lines = at + len(data), lines + len(held)
             held.clear()
 
         for key, page_id, archive, offset, length in rows(batches, "key", "page_id", "archive", "offset", "length"):
@@ -152,64 +153,104 @@ def _blocks(folder: str, block_lines: int):
         if held:
             flush()
         if stream:
+            data = gzip.compress(b"\n".join(directory), LEVEL, mtime=0)
+            stream.write(data)
             stream.close()
             files.move(partial, f"{root}/{name}")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["first"], pa.string()), pa.array(out["last"], pa.string()), pa.array(out["file"], pa.string()), pa.array(out["offset"], pa.int64()), pa.array(out["length"], pa.int64()), pa.array(out["lines"], pa.int64())],
-                ["first", "last", "file", "offset", "length", "lines"],
-            )
+            first, last = (directory[i].split(b" ")[k].decode() for i, k in ((0, 0), (-1, 1)))
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([last]), pa.array([name]), pa.array([at], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([lines], pa.int64())], ["first", "last", "file", "offset", "length", "lines"])
 
     return run
 
 
-def _range(files, path: str, offset: int, length: int) -> bytes:
-    with files.open_input_file(path) as f:
-        return f.read_at(length, offset)
+class Finder:
+    """Bisection in the sparse directory. files: rows (first, last, file, offset, length) in order of keys; one file's directory and one block are held."""
 
+    def __init__(self, folder: str, files: list[tuple[str, str, str, int, int]]):
+        self.store, self.root = store(folder)
+        self.files, self.lasts = files, [f[1] for f in files]
+        self.held: dict[str, tuple] = {}
+        self.reads = 0
 
-def captures(files, root: str, file: str, offset: int, length: int) -> list[tuple[str, int | None, str, int, int]]:
-    """The lines of one block of the index."""
-    out = []
-    for line in gzip.decompress(_range(files, f"{root}/{file}", offset, length)).decode().split("\n"):
-        key, page_id, archive, at, size = line.split(" ")
-        out.append((key, None if page_id == "-" else int(page_id), archive, int(at), int(size)))
-    return out
+    def _read(self, kind: str, place: tuple[str, int, int]) -> list[list[str]]:
+        if self.held.get(kind, (None,))[0] != place:
+            with self.store.open_input_file(f"{self.root}/{place[0]}") as f:
+                data = f.read_at(place[2], place[1])
+            self.reads += 1
+            self.held[kind] = (place, [line.split(" ") for line in gzip.decompress(data).decode().split("\n")])
+        return self.held[kind][1]
+
+    def lines(self, key: str) -> list[tuple[str, int | None, str, int, int]]:
+        """The captures of a key: (key, page_id, archive, offset, length)."""
+        out = []
+        for f in range(bisect.bisect_left(self.lasts, key), len(self.files)):
+            first, _, file, offset, length = self.files[f]
+            if first > key:
+                break
+            blocks = self._read("directory", (file, offset, length))
+            for b in range(bisect.bisect_left(blocks, key, key=lambda x: x[1]), len(blocks)):
+                if blocks[b][0] > key:
+                    break
+                lines = self._read("block", (file, int(blocks[b][2]), int(blocks[b][3])))
+                for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) : bisect.bisect_right(lines, key, key=lambda x: x[0])]:
+                    out.append((line[0], None if line[1] == "-" else int(line[1]), line[2], int(line[3]), int(line[4])))
+        return out
+
+    def record(self, archive: str, offset: int, length: int) -> bytes:
+        with self.store.open_input_file(f"{self.root}/{archive}") as f:
+            self.reads += 1
+            return zlib.decompress(f.read_at(length, offset), 31)
 
 
 class Archives:
-    """Archives, their index and its directory (a table) in one folder."""
+    """Archives and their index in one folder; directory: a row an index file."""
 
     def __init__(self, folder: str, directory: DataFrame):
         self.folder, self.directory = folder, directory
+        self._files: list | None = None
 
-    def lookup(self, url: str) -> list[tuple[dict[str, str], bytes]]:
-        """All records of a URL, by page_id: a filter of the directory, bisection in a block, then a read of the record's range."""
-        key = surt(url)
-        files, root = store(self.folder)
-        out = []
-        for d in self.directory.where((F.col("first") <= key) & (F.col("last") >= key)).orderBy("first", "file", "offset").toLocalIterator():
-            lines = captures(files, root, d["file"], d["offset"], d["length"])
-            keys = [line[0] for line in lines]
-            for line in lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                out.append((line[1], parse(gzip.decompress(_range(files, f"{root}/{line[2]}", line[3], line[4])))))
-        return [x for _, x in sorted(out, key=lambda x: (x[0] is None, x[0] or 0))]
-
-    def lines(self) -> DataFrame:
-        """All captures, from the blocks of the index."""
-        folder = self.folder
+    def files(self) -> list[tuple[str, str, str, int, int]]:
+        """The upper level, in order of keys: as many rows as tasks wrote index files."""
+        if self._files is None:
+            self._files = sorted((r["first"], r["last"], r["file"], r["offset"], r["length"]) for r in self.directory.collect())
+        return self._files
 
-        def run(batches):
+    def lookup(self, url: str, finder: Finder | None = None) -> list[tuple[dict[str, str], bytes]]:
+        """All records of a URL, by page_id."""
+        finder = finder or Finder(self.folder, self.files())
+        found = [(line[1], parse(finder.record(*line[2:]))) for line in finder.lines(surt(url))]
+        return [x for _, x in sorted(found, key=lambda x: (x[0] is None, x[0] or 0))]
+
+    def find(self, urls: DataFrame) -> DataFrame:
+        """urls (url) -> (key, page_id, archive, offset, length): all captures of their keys. Keys are sorted, so a task walks its part of the index once."""
+        folder, files = self.folder, self.files()
+
+        def keyed(batches):
             import pyarrow as pa
 
-            files, root = store(folder)
-            for file, offset, length in rows(batches, "file", "offset", "length"):
-                got = captures(files, root, file.decode(), offset, length)
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["key", "page_id", "archive", "offset", "length"])
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([surt((u or b"").decode()) for (u,) in rows([batch], "url")], pa.string())], ["key"])
 
-        return self.directory.select("file", "offset", "length").mapInArrow(run, "key string, page_id long, archive string, offset long, length long")
+        def run(batches):
+            import pyarrow as pa
 
-    def read(self) -> DataFrame:
-        """What the archives hold, through the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
+            finder = Finder(folder, files)
+            types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+            for batch in batches:
+                held = []
+                for (key,) in rows([batch], "key"):
+                    held += finder.lines(key.decode())
+                    if len(held) >= 10_000:  # a key may have any number of captures
+                        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate(types)], ["key", "page_id", "archive", "offset", "length"])
+                        held = []
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in held], t) for i, t in enumerate(types)], ["key", "page_id", "archive", "offset", "length"])
+
+        ship(urls.sparkSession)
+        keys = urls.select(F.col("url").cast("string").alias("url")).distinct().mapInArrow(keyed, "key string").distinct()
+        return keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key string, page_id long, archive string, offset long, length long")
+
+    def read(self, urls: DataFrame) -> DataFrame:
+        """The records of urls (url), found through the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url."""
         folder = self.folder
 
         def run(batches):
@@ -237,7 +278,7 @@ class Archives:
             if f:
                 f.close()
 
-        located = self.lines().select("archive", "offset", "length")
+        located = self.find(urls).select("archive", "offset", "length")
         return located.repartitionByRange(F.col("archive"), F.col("offset")).sortWithinPartitions("archive", "offset").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
@@ -259,10 +300,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, block_lines: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9: every page, written and read back."""
+    """op9: every page, written and read back through the index."""
     folder = f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}"
-    archives = write(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return archives.read().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return write(pages, folder).read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

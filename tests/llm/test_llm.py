@@ -365,7 +365,7 @@ def test_warc(spark):
     last = {}
     for i, _, h in rows:
         last[h or ""] = max(i, last.get(h or "", -1))
-    got = {r.page_id: r for r in archives.read().collect()}
+    got = {r.page_id: r for r in archives.read(pages).collect()}
     assert len(got) == len(rows)
     for i, _, h in rows:
         data = (h or "").encode()
@@ -381,12 +381,12 @@ def test_warc(spark):
     assert archives.lookup("https://nowhere.example/") == []
     assert warc.surt("http://www.b.co.uk/x?y#z") == "uk,co,b)/x?y"
     blank = warc.write(pages.limit(0), folder + "e")
-    assert blank.read().count() == 0
+    assert blank.read(pages).count() == 0
 
 
 def test_warc_keeps_small_payloads_apart(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
-    got = warc.write(pages, f"{shared_dir(spark)}/warc-small-{random.random()}", least_bytes=3).read().collect()
+    got = warc.write(pages, f"{shared_dir(spark)}/warc-small-{random.random()}", least_bytes=3).read(pages).collect()
     assert {r.page_id: r.record_type for r in got} == {1: "response", 2: "response", 3: "revisit", 4: "response"}
 
 
