@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, near duplicates, decontamination, PII, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns documents' columns; the last returns packed pieces. Decisions are judged on the
-stage's own input: toxic documents go, one document of each group of near copies stays (the least doc_id), contaminated documents go, private
-values become pseudonyms (n_chars is made right), and what's left is packed. A stage's result is written as Parquet in the shared folder and read again.
+stage's own input: toxic documents go, one document of each group of near copies stays (the least doc_id), documents that hold benchmark text go (eight words
+in a row of a benchmark item's window, or 5 % of their words), private values become pseudonyms (n_chars is made right), and what's left is packed. A
+stage's result is written as Parquet in the shared folder and read again.
 
 The stages' models and tokenizer can't be expressed in SQL, so there is no oracle; tests compare each stage with a brute-force version.
 """
@@ -29,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    made = pii.pseudonyms(docs).drop("pii")
+    made = pii.pseudonyms(docs, found_as=None)
     return made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else made
 
 
