@@ -1,7 +1,7 @@
 """Quality rules: a decision list learned by sequential covering, applied as ordered Spark conditional expressions.
 
 Features come from native expressions over whole texts. Learning: labelled rows (at most `max_rows`, those whose hashed id is least) are
-binned at quantiles and counted by cell and label; the covering loop works on those counts alone. It grows a conjunction of
+that the base rule doesn't reject are binned at quantiles of either label and counted by cell and label; the covering loop works on those counts alone. It grows a conjunction of
 thresholds for low quality by information gain, prunes it on counts held back, keeps it while it's precise enough, and goes on with what no rule covers.
 
 Defined results: null and empty texts have no words, so they fail the base rule; without labels (or of one kind only) no rule is
@@ -134,8 +134,9 @@ def learn(counted: DataFrame, labels: DataFrame, max_rows: int = 20_000, bins: i
     marked = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("label")).where("label IN (0, 1)").dropDuplicates(["doc_id"])
     rated = counted.select("doc_id", *(F.expr(e).alias(n) for n, e in RATIOS.items())).join(marked, "doc_id")
     rated = staged(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows), "rated")
-    cuts = rated.agg(*(F.percentile_approx(n, [(i + 1) / bins for i in range(bins - 1)], 10_000).alias(n) for n in names)).first()
-    edges = {n: sorted({float(x) for x in cuts[n] or ()}) for n in names}
+    # quantiles of either kind, as the rare kind has few of all
+    cuts = rated.groupBy("label").agg(*(F.percentile_approx(n, [i / bins for i in range(bins + 1)], 10_000).alias(n) for n in names)).collect()  # two rows
+    edges = {n: sorted({float(x) for r in cuts for x in r[n] or ()}) for n in names}
     if not any(edges.values()):
         return []
     binned = [F.expr(f"size(filter(array({', '.join(f'{e!r}D' for e in edges[n])}), e -> {n} > e))" if edges[n] else "0").alias(n) for n in names]
@@ -155,8 +156,8 @@ def verdict(rules: list[list[Condition]]) -> Column:
 def assess(documents: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """features() with base_failed, rule (the learned rule that rejects, or null) and kept."""
     counted = staged(features(documents), "features")
-    rules = learn(counted, labels, **settings)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    rules = learn(counted.where(~failed), labels, **settings)  # what the base rejects needs no rule
     return counted.withColumn("base_failed", failed).withColumn("rule", verdict(rules)).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
