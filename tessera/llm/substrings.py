@@ -131,7 +131,7 @@ def repeated(documents: DataFrame, window: int = 13, start: int = 7) -> DataFram
         met = keys.join(seen.hint("shuffle_hash"), "key")
         if k == window:
             met = met.where("doc_id > least")
-        met = staged(met.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), f"repeated-{k}")
+        met = staged(met.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), f"repeated-{k}")
         remove(seen)
         if before is not None:
             remove(live)
