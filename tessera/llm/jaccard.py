@@ -12,7 +12,7 @@ The order of tokens puts those that are frequent in a bounded sample of document
 gives the same links. All rows of a token are counted map-side, and the hot ones are dropped as soon as all their holders are in one group.
 
 Defined results: null and empty texts have an empty set, link with nothing and are their own component; texts of one to four words have one
-shingle, the whole sequence; rows with a null doc_id link with nothing and have a null component; rows with the same doc_id are one node (each row
+shingle, the whole sequence; rows with a null doc_id link with nothing and have a null component; rows with the same doc_id are one node, whose links are those of the least of its texts in compressed form (each row
 has its own n_shingles); other columns are ignored.
 """
 
@@ -30,6 +30,8 @@ SEEDS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 #: tokens of more groups than that are joined in bands of size only; pairs of groups with as many pairs of members or fewer are verified by pair
 NARROW, SMALL = 16, 16
 BASE = -(1 << 63)
+#: tokens of a group that one task puts in order
+MOST_NUMBERED = 1 << 20
 SAMPLE_DOCS, SAMPLE_HITS, MOST_FREQUENT = 24_576, 3, 200_000
 
 
@@ -233,8 +235,11 @@ def _near(cells: DataFrame) -> DataFrame:
     ones too. Where the bound is lower, the smaller size is within 7 wide / 3 of three quarters of the larger; only pairs in that band are joined
     on wide tokens, by token and class of size.
     """
-    own = Window.partitionBy("group").orderBy("holders", "token")
-    cells = cells.withColumn("left", F.count("*").over(Window.partitionBy("group")) - F.row_number().over(own))
+    # a very large group is numbered in parts; its tokens left are then an upper bound, which lets more meetings through and loses none
+    large = staged(cells.groupBy("group").agg(F.count("*").alias("own_tokens")).where(F.col("own_tokens") > MOST_NUMBERED), "large-groups")
+    cells = cells.join(large, "group", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("token"), F.ceil(F.col("own_tokens") / MOST_NUMBERED)), F.lit(0).cast("long")))
+    part = Window.partitionBy("group", "part")
+    cells = cells.withColumn("left", F.coalesce("own_tokens", F.count("*").over(part)) - F.row_number().over(part.orderBy("holders", "token"))).drop("own_tokens", "part")
     wide = cells.where(F.col("holders") > NARROW)
     wides = wide.groupBy("group").agg(F.count("*").alias("wide"))
 

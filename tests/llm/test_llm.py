@@ -319,6 +319,7 @@ def test_jaccard_chains_and_sizes(spark, monkeypatch, seed):
     df = spark.createDataFrame([(d, t, "", "", 0) for d, t in rows], SCHEMA)
     monkeypatch.setattr(jaccard, "NARROW", r.choice([1, 2, 16]))
     monkeypatch.setattr(jaccard, "SMALL", r.choice([0, 16]))
+    monkeypatch.setattr(jaccard, "MOST_NUMBERED", r.choice([3, 20, 1 << 20]))
     want = brute_components(rows)
     same([(x.doc_id, x.n_shingles, x.component_id) for x in jaccard.near_duplicates(df).collect()], [(d, *want[d]) for d, _ in rows])
 
