@@ -14,10 +14,12 @@ from tessera.session import ship
 __all__ = ["release", "remove", "shared_dir", "ship", "staged", "texts"]
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, on a local master (tests), one of our own."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-shared")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
