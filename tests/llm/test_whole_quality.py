@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality
+from tessera.llm.common import staged
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 RATIOS = {
@@ -20,7 +21,7 @@ def assessed(spark):
     """What is assessed with a third of the labels held back, the rules, and the labels held back."""
     documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     back = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 0
-    counted = quality.features(documents).where("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words")
+    counted = staged(quality.features(documents), "counted").where("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words")
     rules = quality.learn(counted, labels.where(~back))
     rows = quality.assess(documents, labels.where(~back)).collect()
     return rows, rules, {r.doc_id: r.quality for r in labels.where(back).collect()}
