@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import graphs, reports, searching, shaping
+from tessera.plans import changing, graphs, reports, searching, shaping
 
-FAMILIES = (searching, graphs, shaping, reports)
+FAMILIES = (searching, graphs, shaping, reports, changing)
 QUERIES: dict = {k: v for family in FAMILIES for k, v in family.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for family in FAMILIES for k, v in family.ORACLES.items()}
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.parse import parse_files, table_of
-from tessera.operators.graph import merge_edges
+from tessera.operators.graph import ancestors, merge_edges
 from tessera.operators.resolve import cascade, first_wins, suffixes
 
 # Method names that built-in types have, and receivers that are globals of a language; a call by such a name alone is never linked.
@@ -81,13 +81,8 @@ def link_calls(definitions: DataFrame, calls: DataFrame, bindings: DataFrame, re
     def veto(found: DataFrame, rank: int) -> DataFrame:
         return found.select("id", F.lit(rank).alias("rank"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("confidence"))
 
-    # the nearest class around a definition: itself's parents, a few levels up
-    up = scope.select(F.col("caller").alias("node"), F.col("parent").alias("next"))
-    around = scope.select("caller", F.col("parent").alias("owner"), F.lit(1).alias("far")).where("owner IS NOT NULL")
-    step = around
-    for k in (2, 3, 4):
-        step = step.join(up, step["owner"] == up["node"]).select("caller", F.col("next").alias("owner"), F.lit(k).alias("far")).where("owner IS NOT NULL")
-        around = around.unionByName(step)
+    # what is around a definition, to the top
+    around = ancestors(scope.select(F.col("caller").alias("id"), "parent")).select(F.col("id").alias("caller"), F.col("ancestor").alias("owner"), F.col("distance").alias("far"))
     classes = definitions.where("kind IN ('class', 'interface', 'enum', 'record')").select(F.col("id").alias("owner"))
     holder = around.join(classes, "owner").groupBy("caller").agg(F.min_by("owner", "far").alias("owner"))
     own = dotted.where("receiver IN ('self', 'this', 'cls')").join(holder, "caller").join(member, ["owner", "name"])

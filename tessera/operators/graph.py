@@ -1,7 +1,8 @@
 """The property graph as two tables, and what is counted and walked over it.
 
 nodes(id, type, name, path, parent) and edges(source, target, type, line, confidence). Walks are loops over a frontier table: each
-step is one join and one aggregation, nodes seen are taken out by an anti join, and the lineage is cut at each step.
+step is one join and one aggregation, nodes seen are taken out by an anti join, and the lineage is cut at each step. The edges a walk follows are written
+once before it, so that no step makes them again.
 """
 
 from __future__ import annotations
@@ -75,6 +76,7 @@ def ripple(edges: DataFrame, changed: DataFrame, depth: int = 3, skip: DataFrame
     calls = edges.where("type = 'calls'").select(F.col("source").alias("next"), F.col("target").alias("id"), (F.col("confidence") != "high").alias("guess"))
     if skip is not None:
         calls = calls.join(skip.select(F.col("id").alias("next")), "next", "left_anti")
+    calls = cut(calls)
     front = changed.select("id", F.lit(0).alias("depth"), F.lit(False).alias("guessed"))
     seen = front
     for k in range(1, depth + 1):
@@ -86,7 +88,8 @@ def ripple(edges: DataFrame, changed: DataFrame, depth: int = 3, skip: DataFrame
 
 def tests_reaching(edges: DataFrame, origins: DataFrame, tests: DataFrame, depth: int = 6, most: int = 6) -> DataFrame:
     """(origin, test): the first tests, by id, that reach each origin in at most `depth` calls; the walk stops at tests."""
-    calls = edges.where("type = 'calls'").select(F.col("source").alias("next"), F.col("target").alias("id"))
+    calls = cut(edges.where("type = 'calls'").select(F.col("source").alias("next"), F.col("target").alias("id")))
+    tests = cut(tests.select("id").distinct())
     seen = front = origins.select(F.col("id").alias("origin"), "id")
     found = None
     for _ in range(depth):
@@ -106,7 +109,7 @@ def tests_reaching(edges: DataFrame, origins: DataFrame, tests: DataFrame, depth
 def closure(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
     """(id, depth): all that `start` (id) reaches along calls and imports, or with forward=False all that reaches it."""
     s, t = ("source", "target") if forward else ("target", "source")
-    links = edges.where(F.col("type").isin("calls", "imports")).select(F.col(s).alias("id"), F.col(t).alias("next")).distinct()
+    links = cut(edges.where(F.col("type").isin("calls", "imports")).select(F.col(s).alias("id"), F.col(t).alias("next")).distinct())
     seen = front = start.select("id", F.lit(0).alias("depth"))
     k = 0
     while True:
@@ -123,7 +126,7 @@ def reading_order(links: DataFrame, entry: str, sizes: DataFrame, most: int = 8)
     A file's place within a depth is by its parent's place, then its path; both are kept as the list of paths walked.
     """
     seen = front = links.sparkSession.createDataFrame([(entry, [entry], 0)], "path string, walk array<string>, depth int")
-    ends = links.select(F.col("source").alias("path"), F.col("target").alias("next")).distinct()
+    ends = cut(links.select(F.col("source").alias("path"), F.col("target").alias("next")).distinct())
     k = 0
     while True:
         k += 1
@@ -142,18 +145,20 @@ def layering(links: DataFrame, entry: str, rounds: int = 6) -> DataFrame:
     """(path, level): the longest walk from `entry`, of at most `rounds` steps, so that cycles end."""
     front = links.sparkSession.createDataFrame([(entry,)], "path string")
     levels = front.withColumn("level", F.lit(0))
-    ends = links.select(F.col("source").alias("path"), F.col("target").alias("next")).distinct()
+    ends = cut(links.select(F.col("source").alias("path"), F.col("target").alias("next")).distinct())
     for k in range(1, rounds + 1):
         front = cut(ends.join(front, "path").select(F.col("next").alias("path")).distinct())
         levels = levels.unionByName(front.withColumn("level", F.lit(k)))
     return levels.groupBy("path").agg(F.max("level").alias("level"))
 
 
-def ancestors(nodes: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, ancestor, distance) along parent."""
-    up = nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"))
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) along parent, to the top. Parents are no cycle: a node comes after what it's in."""
+    up = cut(nodes.where("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor")))
     out = step = up.withColumn("distance", F.lit(1))
-    for k in range(2, depth + 1):
+    k = 1
+    while True:
+        k += 1
         step = cut(step.select("id", F.col("ancestor").alias("mid")).join(up.select(F.col("id").alias("mid"), "ancestor"), "mid").select("id", "ancestor", F.lit(k).alias("distance")))
         if step.isEmpty():
             break

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CAMEL, STOP_WORDS, SUFFIXES, WORD, tokens, tokens_raw
+from tessera.session import cut, spread
 
 
 def words_of(question: str) -> list[str]:
@@ -33,7 +34,7 @@ def raw_words_of(question: str) -> list[str]:
 
 def postings(chunks: DataFrame, terms: Column) -> DataFrame:
     """(id, term, tf)."""
-    return chunks.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    return spread(chunks).select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 
 def frequencies(index: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def _weights(index: DataFrame, chunks: DataFrame) -> DataFrame:
 def similarities(chunks: DataFrame, question: str) -> DataFrame:
     """(id, score > 0): cosine with prefix expansion, times 0.4 + 0.6 * coverage of the question's words."""
     words = words_of(question)
-    weighted = _weights(postings(chunks, tokens(F.col("text"))), chunks)
+    weighted = _weights(cut(postings(chunks, tokens(F.col("text")))), chunks)
     t = F.col("term")
 
     def reached(w: str) -> Column:
@@ -80,7 +81,7 @@ def search(chunks: DataFrame, question: str, k: int = 6) -> DataFrame:
 def search_raw(chunks: DataFrame, question: str, k: int = 4) -> DataFrame:
     """Cosine of raw counts times idf; the k best over 0."""
     counts = {w: raw_words_of(question).count(w) for w in dict.fromkeys(raw_words_of(question))}
-    weighted = _weights(postings(chunks, tokens_raw(F.col("text"))), chunks)
+    weighted = _weights(cut(postings(chunks, tokens_raw(F.col("text")))), chunks)
     share = F.lit(0.0)
     for w, c in counts.items():
         share = F.when(F.col("term") == w, float(c)).otherwise(share)
@@ -95,7 +96,7 @@ def keyword_search(chunks: DataFrame, question: str, k: int = 4) -> DataFrame:
     """How many of a text's tokens are the question's; the k best over 0."""
     asked = F.array(*map(F.lit, sorted(set(raw_words_of(question)))))
     hits = F.size(F.filter(tokens_raw(F.col("text")), lambda t: F.array_contains(asked, t))).cast("long")
-    return chunks.select("id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
+    return spread(chunks).select("id", hits.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
 def retrieve(chunks: DataFrame, links: DataFrame, question: str, k: int = 6, most: int = 12) -> DataFrame:
@@ -104,7 +105,7 @@ def retrieve(chunks: DataFrame, links: DataFrame, question: str, k: int = 6, mos
     A neighbour's place at a hit is by (similarity, sureness, id); the two best hits take four places, others two and only of
     neighbours that match the question. A neighbour belongs to the first hit that reaches it.
     """
-    sims = similarities(chunks, question)
+    sims = cut(similarities(chunks, question))  # used twice
     top = sims.orderBy(F.desc("score"), "id").limit(k)
     hits = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("best", F.max("score").over(Window.partitionBy()))
     hits = hits.where("score >= best * 0.35").drop("best")  # k rows at most

@@ -176,9 +176,8 @@ def change_lines(spark, d):
 
 def removed_defs(spark, d):
     """Parts only in orders before the cut-off."""
-    item = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderdate")), "l_orderkey")
-    new = F.col("o_orderdate") >= F.lit("1997-06-01").cast("timestamp_ntz")
-    return item.where(~new).select("l_partkey").distinct().join(item.where(new), "l_partkey", "left_anti")
+    item = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    return item.groupBy("l_partkey").agg(F.max("o_orderdate").alias("last")).where(F.col("last") < F.lit("2000-06-01").cast("timestamp_ntz")).select("l_partkey")
 
 
 def html_links(spark, d):
@@ -266,6 +265,6 @@ SELECT user_id, event_id, ok FROM r""",
     "answer_cache_join": "SELECT conv_id, turn, first_value(conv_id) OVER w AS first_conv, first_value(turn) OVER w AS first_turn FROM conversations WINDOW w AS (PARTITION BY role || '|' || lower(text) ORDER BY conv_id, turn)",
     "json_accept": "SELECT event_id, k FROM (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE k BETWEEN 0 AND 50",
     "change_lines": f"SELECT l_partkey, count(*) FILTER (o_orderdate >= '1997-06-01') AS added, count(*) FILTER (NOT o_orderdate >= '1997-06-01') AS kept, min(l_linenumber) FILTER (o_orderdate >= '1997-06-01') AS first_line FROM {_DATED} GROUP BY l_partkey",
-    "removed_defs": f"SELECT l_partkey FROM {_DATED} GROUP BY l_partkey HAVING max(o_orderdate) < '1997-06-01'",
+    "removed_defs": f"SELECT l_partkey FROM {_DATED} GROUP BY l_partkey HAVING max(o_orderdate) < '2000-06-01'",
     "html_links": """SELECT page_id, unnest(range(0, len(l))) AS pos, unnest(l) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)""",
 }

@@ -32,19 +32,27 @@ def repo_root() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a loop's table: a reliable checkpoint in spark.checkpoint.dir (where unset, as in tests, in a folder of its own)."""
+    """End the lineage of a loop's table: a reliable checkpoint in spark.checkpoint.dir (where unset, on a local master as in tests, in a folder of its own)."""
     sc = df.sparkSession.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", "")
     if base:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(base)
     elif not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-cp"))
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before costly expressions, where the scan has fewer splits than that (a file of one row group is one task). A large table is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 

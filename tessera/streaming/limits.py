@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.sequence import latest
 from tessera.session import ship
 
 
@@ -42,21 +43,26 @@ def daily_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return w.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "provider", "n")
 
 
-def upsert(folder: str, key: str, content: str):
-    """For foreachBatch: a table at `folder`/<batch> that holds the newest row of each key; rows whose content hash is known are left out of the work.
+def upsert(folder: str, key: str, content: str, order: str | None = None):
+    """For foreachBatch: a table at `folder`/<batch> that holds the newest row of each key, by `order` (without it, of the greatest content); rows whose content hash is known are left out of the work.
 
-    Each batch writes a folder of its own, so a batch that is run again writes the same folder and readers of earlier ones aren't disturbed.
+    Each batch writes a folder of its own, so a batch that is run again writes the same folder and readers of earlier ones aren't disturbed. It goes on from the
+    last batch before it that is complete, whatever its number.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.withColumn("hash", F.sha2(F.col(content).cast("string"), 256)).dropDuplicates([key])
-        if number > 0:
-            old = spark.read.parquet(f"{folder}/{number - 1}")
+        new = latest(batch.withColumn("hash", F.sha2(F.col(content).cast("string"), 256)), [key], [order or content])
+        jvm = spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(folder)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath() for f in files.listStatus(root)] if files.exists(root) else []
+        done = [int(p.getName()) for p in names if p.getName().isdigit() and int(p.getName()) < number and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        out = new
+        if done:
+            old = spark.read.parquet(f"{folder}/{max(done)}")
             changed = new.join(old.select(key, "hash"), [key, "hash"], "left_anti")
             out = old.join(changed.select(key), key, "left_anti").unionByName(changed)
-        else:
-            out = new
         out.write.mode("overwrite").parquet(f"{folder}/{number}")
 
     return run
