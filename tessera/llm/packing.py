@@ -32,7 +32,7 @@ from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, sp
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
 SLOTS = 1 << 21
-SHARDS_A_TASK = 16
+SHARDS_A_TASK = 4
 K1, B = 1.2, 0.75
 BEST = 48
 #: for dealing rests to shards: numbers a rest is projected to, rests the tree grows on, fewest of them that are cut
