@@ -225,6 +225,13 @@ class Encoder:
         return np.concatenate([y for i, x in enumerate(split) for y in ([self.special_ids[x]] if i % 2 else (self.texts([p])[0] for p in pieces(x)))]).astype(self.small)
 
 
+def _encoder(path: str) -> Encoder:
+    """The worker's own encoder, with the words of its earlier tasks. A function of the module, as what a shipped function holds itself comes anew with each task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and how often each occurs. Ids of 16 bits are sorted by radix."""
     s = np.sort(ids, kind="stable")
@@ -247,9 +254,7 @@ def _encode(path: str, window: int, vocabulary: int):
         import zstandard
         from pyspark import TaskContext
 
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encoder, pack = _encoders[path], zstandard.ZstdCompressor(level=1).compress
+        encoder, pack = _encoder(path), zstandard.ZstdCompressor(level=1).compress
         df = np.zeros(vocabulary, np.int64)
         seen, place = False, TaskContext.get().partitionId() << 40
         for chunk in chunks(rows(batches, "doc_id", "text")):

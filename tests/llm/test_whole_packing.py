@@ -58,3 +58,13 @@ def test_equal_rows_without_an_id_are_spread(spark):
     rows = [(None, "the same words again and again " * 10)] * 300
     got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), window=256, shard_tokens=3_000).collect()
     assert len({p.sequence_id >> 32 for p in got}) > 3 and sum(p.length for p in got) == 300 * got[0].doc_tokens
+
+
+def test_a_worker_makes_its_encoder_once():
+    """Tasks of a worker load the shipped function anew each time; the encoder stays."""
+    from pyspark.cloudpickle import dumps, loads
+
+    path = packing.default_tokenizer()
+    made = loads(dumps(packing._encode(path, 4096, 10)))
+    assert made.__globals__["_encoder"] is packing._encoder
+    assert packing._encoder(path) is packing._encoder(path)
