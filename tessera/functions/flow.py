@@ -1,4 +1,4 @@
-"""Control-flow charts of Python functions: boxes and edges, at most BUDGET boxes.
+"""Control-flow charts of functions: boxes and edges, at most BUDGET boxes. Python is charted here, languages with braces in `braces`.
 
 Simple statements are grouped three to a box; what can't be reached is left out; loops have back edges; break, continue, return and raise leave their
 block. Each box is explained by a sentence made from its statement.
@@ -62,7 +62,7 @@ class Chart:
 
     def box(self, kind: str, label: str, node, sentence: str, first: int | None = None, last: int | None = None) -> int:
         first = first or node.lineno
-        self.boxes.append(dict(n=len(self.boxes), kind=kind, label=label[:120], first=first, last=last or (first if kind in ("start", "decision", "loop") else node.end_lineno), said=sentence))
+        self.boxes.append(dict(n=len(self.boxes), kind=kind, label=label[:120], first=first, last=last or (first if kind in ("start", "decision", "loop", "switch") else node.end_lineno), said=sentence))
         return len(self.boxes) - 1
 
     def join(self, ways: list[tuple[int, str]], target: int) -> None:
@@ -76,7 +76,7 @@ class Chart:
         def flush(ways):
             if not group:
                 return ways
-            n = self.box("action", "; ".join(ast.unparse(g) for g in group), group[0], " ".join(map(said, group)), group[0].lineno, group[-1].end_lineno)
+            n = self.box("action", "\n".join(ast.unparse(g) for g in group), group[0], " ".join(map(said, group)), group[0].lineno, group[-1].end_lineno)
             self.join(ways, n)
             group.clear()
             return [(n, "")]
@@ -99,21 +99,23 @@ class Chart:
 
     def compound(self, node: ast.stmt, ways: list) -> list:
         if isinstance(node, ast.If):
-            n = self.box("decision", ast.unparse(node.test), node, f"Is it so that {in_words(node.test)}?")
+            n = self.box("decision", ast.unparse(node.test) + "?", node, f"Is it so that {in_words(node.test)}?")
             self.join(ways, n)
             return self.block(node.body, [(n, "yes")]) + (self.block(node.orelse, [(n, "no")]) if node.orelse else [(n, "no")])
         if isinstance(node, ast.While | ast.For | ast.AsyncFor):
             forever = isinstance(node, ast.While) and isinstance(node.test, ast.Constant) and bool(node.test.value)
-            label = ast.unparse(node.test) if isinstance(node, ast.While) else f"each {ast.unparse(node.target)} in {ast.unparse(node.iter)}"
-            sentence = "Repeat until something leaves the loop." if forever else f"Repeat while {in_words(node.test)}." if isinstance(node, ast.While) else f"For {label}, repeat."
+            each = not isinstance(node, ast.While)
+            label = f"next {ast.unparse(node.target)} in {ast.unparse(node.iter)}?" if each else "repeat forever" if forever else ast.unparse(node.test) + "?"
+            sentence = "Repeat until something leaves the loop." if forever else f"For each {ast.unparse(node.target)} in {ast.unparse(node.iter)}, repeat." if each else f"Repeat while {in_words(node.test)}."
+            out = "no more" if each else "no"
             n = self.box("loop", label, node, sentence)
             self.join(ways, n)
             self.loops.append((n, []))
             self.join(self.block(node.body, [(n, "" if forever else "yes")]), n)
             _, left = self.loops.pop()
-            return left + ([] if forever else self.block(node.orelse, [(n, "no")]) if node.orelse else [(n, "no")])
+            return left + ([] if forever else self.block(node.orelse, [(n, out)]) if node.orelse else [(n, out)])
         if isinstance(node, ast.Match):
-            n = self.box("decision", ast.unparse(node.subject), node, f"Which case is {ast.unparse(node.subject)}?")
+            n = self.box("switch", f"which {ast.unparse(node.subject)}?", node, f"Which case is {ast.unparse(node.subject)}?")
             self.join(ways, n)
             out, rest = [], True
             for case in node.cases:
@@ -122,12 +124,12 @@ class Chart:
                 out += self.block(case.body, [(n, "other" if label == "_" else label)])
             return out + ([(n, "other")] if rest else [])
         if isinstance(node, ast.Try):
-            before = len(self.boxes)
-            out = self.block(node.body, ways)
-            first = before if len(self.boxes) > before else (ways[0][0] if ways else 0)
+            n = self.box("try", "try", node, "Try what follows; an error leads to its own steps.", node.lineno, node.lineno)
+            self.join(ways, n)
+            out = self.block(node.body, [(n, "")])
             caught = []
             for h in node.handlers:
-                caught += self.block(h.body, [(first, f"on {ast.unparse(h.type) if h.type else 'error'}")]) or []
+                caught += self.block(h.body, [(n, "if error")])
             out = self.block(node.orelse, out) + caught if node.orelse else out + caught
             return self.block(node.finalbody, out) if node.finalbody else out
         if isinstance(node, ast.With | ast.AsyncWith):
@@ -143,15 +145,15 @@ class Chart:
             return []
         back = isinstance(node, ast.Return)
         value = node.value if back else node.exc
-        n = self.box("return" if back else "raise", ast.unparse(node), node, (f"Give back {ast.unparse(value)}." if value is not None else "Stop here.") if back else f"Stop with {ast.unparse(value) if value is not None else 'the error'}.")
+        n = self.box("return" if back else "stop", ast.unparse(node), node, (f"Give back {ast.unparse(value)}." if value is not None else "Stop here.") if back else f"Stop with {ast.unparse(value) if value is not None else 'the error'}.")
         self.join(ways, n)
-        self.ends.append((n, ""))
+        self.ends.append((n, "" if back else "error"))
         return []
 
     def mermaid(self) -> str:
         """The chart as Mermaid text."""
         clean = lambda t: t.replace('"', "'").replace("\n", " ")
-        shapes = {"start": "([{}])", "end": "([{}])", "decision": "{{{}}}", "loop": "{{{{{}}}}}"}
+        shapes = {"start": "([{}])", "end": "([{}])", "decision": "{{{}}}", "switch": "{{{}}}", "loop": "{{{{{}}}}}", "return": "([{}])", "stop": "([{}])"}
         out = ["flowchart TD"] + [f"  n{b['n']}" + shapes.get(b["kind"], "[{}]").format(f'"{clean(b["label"])}"') for b in self.boxes]
         return "\n".join(out + [f"  n{e['source']} -->" + (f"|{clean(e['label'])}|" if e["label"] else "") + f" n{e['target']}" for e in self.edges])
 
@@ -174,7 +176,7 @@ def charts_of(text: str) -> Iterator[tuple[str, Chart]]:
 
 
 def flowcharts(files: DataFrame) -> DataFrame:
-    """files (path, language, content) -> CHARTS, one row a Python function."""
+    """files (path, language, content) -> CHARTS, one row a function of Python, JavaScript, TypeScript, Java or C."""
     ship(files.sparkSession)
     schema = files.sparkSession.createDataFrame([], CHARTS).schema
 
@@ -182,8 +184,14 @@ def flowcharts(files: DataFrame) -> DataFrame:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        from tessera.functions.braces import brace_charts
+
         for batch in batches:
-            rows = [dict(path=p, function=name, boxes=c.boxes, edges=c.edges) for p, data in zip(*(batch.column(x).to_pylist() for x in ("path", "content")), strict=True) for name, c in charts_of((data or b"").decode("utf-8", errors="replace"))]
+            rows = []
+            for path, language, data in zip(*(batch.column(x).to_pylist() for x in ("path", "language", "content")), strict=True):
+                text = (data or b"").decode("utf-8", errors="replace").replace("\r\n", "\n")
+                found = charts_of(text) if language == "python" else brace_charts(text, language)
+                rows += [dict(path=path, function=name, boxes=c.boxes, edges=c.edges) for name, c in found]
             yield from pa.Table.from_pylist(rows, to_arrow_schema(schema)).to_batches()
 
-    return files.where("language = 'python'").select("path", "content").mapInArrow(run, schema)
+    return files.where("language IN ('python', 'javascript', 'typescript', 'java', 'c')").select("path", "language", "content").mapInArrow(run, schema)

@@ -137,6 +137,7 @@ class Token(NamedTuple):
     kind: str  # name, text, mark
     text: str
     line: int
+    at: int
 
 
 _TOKEN = re.compile(r"""(?P<doc>/\*.*?(?:\*/|\Z))|(?P<note>//[^\n]*)|(?P<text>"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|`(?:\\.|[^`\\])*`?)|(?P<name>[A-Za-z_$@][\w$]*)|(?P<number>\d[\w.]*)|(?P<line>\n)|(?P<mark>=>|->|::|\.\.\.|[^\s\w])""", re.S)
@@ -152,7 +153,7 @@ def _tokens(text: str) -> tuple[list[Token], dict[int, str]]:
         if kind == "doc":
             docs[line + said.count("\n")] = inspect.cleandoc("\n".join(re.sub(r"^\s*\*? ?", "", x) for x in re.sub(r"^/\*+|\*+/$", "", said).split("\n"))).strip()
         elif kind in ("name", "text", "mark"):
-            out.append(Token(kind, said, line))
+            out.append(Token(kind, said, line, m.start()))
         line += said.count("\n")
     return out, docs
 
@@ -211,6 +212,10 @@ class _Braces:
             k -= 1
         while self.at(k).startswith("@") and self.at(k) != "@interface" and k < i:
             k = self.match.get(k + 1, k) + 1 if self.at(k + 1) == "(" else k + 1
+        while self.c and self.at(k) == "#" and k < i:  # preprocessor lines before
+            line = self.tokens[k].line
+            while k < i and self.tokens[k].line == line:
+                k += 1
         return k
 
     def run(self) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import answers as A
+from tessera.functions.flow import flowcharts
 from tessera.operators import graph as G
 from tessera.operators import impact as I  # noqa: E741
 from tessera.operators.report import GLOSSARY, glossary_terms
@@ -124,7 +125,16 @@ def code_summaries(spark, d):
     return names.select("p_brand", A.summary_of_code(path, doc, kept).alias("said"))
 
 
-QUERIES = {f.__name__: f for f in (changed_definitions, file_level, file_importers, still_called, uses_sets, retrieved_subgraph, change_totals, code_language, tag_names, lists_in_words, questions, repository_links, json_parts, error_kinds, key_hints, code_summaries)}
+def chart_boxes(spark, d):
+    """Boxes by kind of charts of a function with p_size decisions, in four languages: beyond the budget the rest is one folded box."""
+    k = F.col("p_partkey") % 4
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
+    code = F.concat(pick("int f(int a) {", "class A { int f(int a) {", "function f(a) {", "function f(a: number): number {"), F.expr("repeat('\\n  if (a > 1) { g(a); }', p_size)"), F.lit("\n  return a;\n}"), pick("", "}", "", ""))
+    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), pick("c", "java", "javascript", "typescript").alias("language"), code.cast("binary").alias("content"))
+    return flowcharts(files).select("path", "function", F.explode("boxes.kind").alias("kind")).groupBy("path", "function", "kind").agg(F.count("*").alias("n"))
+
+
+QUERIES = {f.__name__: f for f in (chart_boxes, changed_definitions, file_level, file_importers, still_called, uses_sets, retrieved_subgraph, change_totals, code_language, tag_names, lists_in_words, questions, repository_links, json_parts, error_kinds, key_hints, code_summaries)}
 
 
 def _pick(values, key):
@@ -137,6 +147,8 @@ _SP = """sp AS (SELECT 'f' || o_custkey AS path, 'f' || o_custkey || '::o' || o_
 li AS (SELECT 'f' || o_custkey AS path, l_orderkey % 500 * 40 + l_partkey % 57 + 1 AS line, l_partkey % 4 <> 0 AS added FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R')"""
 _TERMS = f"len(list_filter([{', '.join(f'regexp_matches(lower(q), {chr(39)}{p}{chr(39)})' for p, _ in GLOSSARY.values())}], lambda x: x))"
 ORACLES = {
+    "chart_boxes": """SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 4 = 1 THEN 'A.f' ELSE 'f' END AS function, kind, n FROM (
+SELECT p_partkey, unnest(['start', 'end', 'decision', 'action', 'return', 'folded']) AS kind, unnest([1, 1, least(p_size, 34), least(p_size, 34), CASE WHEN p_size < 34 THEN 1 ELSE 0 END, CASE WHEN p_size < 34 THEN 0 ELSE 1 END]) AS n FROM part) WHERE n > 0""",
     "changed_definitions": f"""WITH {_SP}, h AS (SELECT DISTINCT sp.* FROM sp JOIN li ON sp.path = li.path AND line BETWEEN a AND z),
 i AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.path = h.path AND o.id <> h.id AND o.a >= h.a AND o.z <= h.z AND (o.a > h.a OR o.z < h.z))),
 s AS (SELECT i.*, EXISTS (SELECT 1 FROM orders WHERE o_orderkey % 5 <> 0 AND 'f' || o_custkey || '::o' || o_orderkey = i.id) AS was FROM i)

@@ -44,7 +44,7 @@ def test_chart_of_loops():
     kinds = [b["kind"] for b in c.boxes]
     assert kinds == ["start", "action", "loop", "decision", "decision", "action", "loop", "decision", "return", "action", "end"]
     edges = {(e["source"], e["target"], e["label"]) for e in c.edges}
-    assert {(2, 3, "yes"), (3, 2, "yes"), (3, 4, "no"), (4, 6, "yes"), (5, 2, ""), (2, 6, "no"), (7, 8, "yes"), (9, 6, ""), (8, 10, "")} <= edges
+    assert {(2, 3, "yes"), (3, 2, "yes"), (3, 4, "no"), (4, 6, "yes"), (5, 2, ""), (2, 6, "no more"), (7, 8, "yes"), (9, 6, ""), (8, 10, "")} <= edges
     assert not any("never" in b["label"] for b in c.boxes)
     assert c.mermaid().startswith("flowchart TD\n  n0([")
 
@@ -52,8 +52,8 @@ def test_chart_of_loops():
 def test_chart_of_match_and_try():
     c = chart("A.m")
     labels = [e["label"] for e in c.edges]
-    assert "1" in labels and "other" in labels and "on ValueError" in labels
-    assert [b["kind"] for b in c.boxes].count("raise") == 1
+    assert "1" in labels and "other" in labels and "if error" in labels and "error" in labels
+    assert [b["kind"] for b in c.boxes].count("stop") == 1
 
 
 def test_budget():
