@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ship, staged, texts
-from tessera.llm.words import PLAIN, chunks, grams, hashed, mix, rows, spans
+from tessera.llm.words import PLAIN, chunks, grams, hashed, keep, mix, rows, spans
 
 BLOCK_BYTES, SIEVE_BYTES = 16 << 20, 64 << 20
 #: words of a text that a cursor goes through
 STRIDE = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_held: dict[str, object] = {}
 
 
 class Shifts:
@@ -207,14 +206,6 @@ class Sieve:
         return np.diff(first), out
 
 
-def _worker(token: str, make):
-    """What a Python worker holds for one search: made once, not once a task."""
-    if token not in _held:
-        _held.clear()
-        _held[token] = make()
-    return _held[token]
-
-
 def _search(items: list[tuple[str | None, bytes]], window: int):
     """Rows of texts -> what is found in each."""
     token = uuid.uuid4().hex
@@ -222,7 +213,7 @@ def _search(items: list[tuple[str | None, bytes]], window: int):
     def run(batches):
         import pyarrow as pa
 
-        searcher = _worker(token, lambda: Searcher(items, window))
+        searcher = keep(token, lambda: Searcher(items, window))
         for chunk in chunks(rows(batches, "doc_id", "text")):
             found = searcher.search([t for _, t in chunk])
             yield pa.RecordBatch.from_arrays(
@@ -339,7 +330,7 @@ def without_contaminated(documents: DataFrame, benchmark: DataFrame, share: floa
     def kept(batches):
         import pyarrow as pa
 
-        searcher = _worker(token, lambda: Searcher(items, window))
+        searcher = keep(token, lambda: Searcher(items, window))
         for batch in batches:
             bad = [goes(n, edges, share, run) for chunk in chunks((None, t or b"") for (t,) in rows([batch], "text")) for n, edges, _ in searcher.search([t for _, t in chunk])]
             yield batch.filter(pa.array([not b for b in bad], pa.bool_()))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, ship, staged, texts
-from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, pieces, rows, spans, trim
+from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, keep, pieces, rows, spans, trim
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
@@ -37,7 +37,6 @@ K1, B = 1.2, 0.75
 BEST = 48
 #: for dealing rests to shards: numbers a rest is projected to, rests the tree grows on, fewest of them that are cut
 DIMENSIONS, SAMPLE, LEAST = 64, 1 << 16, 4
-_encoders: dict[str, Encoder] = {}
 #: Fixed value: the expression by which the given tokenizer cuts words, as its file has it; below, what it means for letters and signs before U+0180, in lower case.
 CUT_PATTERN = json.dumps(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _LATIN = {k: "".join(c for c in map(chr, range(0xA1, 0x180)) if unicodedata.category(c)[0] == k) for k in "LN"}
@@ -227,9 +226,7 @@ class Encoder:
 
 def _encoder(path: str) -> Encoder:
     """The worker's own encoder, with the words of its earlier tasks. A function of the module, as what a shipped function holds itself comes anew with each task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return keep(path, lambda: Encoder(path))
 
 
 def _terms(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

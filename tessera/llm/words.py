@@ -6,6 +6,7 @@ Texts are handled as UTF-8 bytes: every separator is ASCII, so byte and code-poi
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ _SEP = np.zeros(256, bool)
 _SEP[list(SPACES)] = True
 CHUNK = 1 << 19
 _powers: dict[str, np.ndarray] = {}
+#: what this worker keeps between tasks, by key; the tasks that last asked for it and that last began
+_kept: dict[str, object] = {}
+_tasks: dict[str, int | None] = {}
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +131,7 @@ def rows(batches, *names: str) -> Iterator[tuple]:
     """Rows of Arrow batches; strings come as UTF-8 bytes."""
     import pyarrow as pa
 
+    _begin()
     for batch in batches:
         for at in range(0, batch.num_rows, 256):  # few rows at a time are Python objects
             columns = []
@@ -139,15 +144,46 @@ def rows(batches, *names: str) -> Iterator[tuple]:
 
 
 def trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
+    """Give freed memory back to the system, Arrow's too, where the C library can."""
     import ctypes
 
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
         pass
 
 
+def _task() -> int | None:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context and context.taskAttemptId()
+
+
+def keep(key: str, make):
+    """What a Python worker keeps between tasks that ask for it before their first row: made once, not once a task. It goes when a task that hasn't asked
+    begins, so that it takes no memory from other operators: workers outlive stages."""
+    _tasks["asked"] = _task()
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _begin() -> None:
+    """Once a task: what it hasn't asked for goes, and what earlier tasks have freed goes back."""
+    task = _task()
+    if _tasks.get("begun", -1) != task:
+        _tasks["begun"] = task
+        if _kept and _tasks["asked"] != task:
+            _kept.clear()
+            gc.collect()
+        trim()
+
+
 def compressed(docs, key: str = "doc_id"):
     """(key, z): texts as zstd frames, for shuffles that must carry whole texts."""
 

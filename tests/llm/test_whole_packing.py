@@ -68,3 +68,44 @@ def test_a_worker_makes_its_encoder_once():
     made = loads(dumps(packing._encode(path, 4096, 10)))
     assert made.__globals__["_encoder"] is packing._encoder
     assert packing._encoder(path) is packing._encoder(path)
+
+
+def test_workers_let_the_encoder_go_when_other_work_begins(spark):
+    """Workers outlive stages; in the pipeline what they kept was on top of the next operators' memory."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text").repartition(8).persist()
+
+    def encoders(batches):
+        import gc
+
+        import pyarrow as pa
+
+        from tessera.llm.words import rows
+
+        n = sum(1 for _ in rows(batches, "doc_id"))
+        yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "Encoder" for x in gc.get_objects())]), pa.array([n])], ["encoders", "n"])
+
+    packing.pack(docs).collect()
+    got = docs.mapInArrow(encoders, "encoders long, n long").collect()
+    docs.unpersist()
+    assert sum(r.n for r in got) == 400 and not any(r.encoders for r in got)
+
+
+def test_trim_gives_arrow_memory_back():
+    import gc
+
+    import pyarrow as pa
+
+    from tessera.llm.words import trim
+
+    def mb():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    trim()
+    before = mb()
+    held = [pa.array([b"%07d" % i * 30 for i in range(1_000)]).cast(pa.large_binary()).take(pa.array(range(1_000))) for _ in range(600)]
+    grown = mb() - before
+    del held
+    gc.collect()
+    trim()
+    assert grown > 50 and mb() - before < grown / 4
