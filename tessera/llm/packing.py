@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import release, ship, staged, texts
-from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, keep, pieces, rows, spans, trim
+from tessera.llm.words import CHUNK, LOWER, chunks, hash_spans, keep, pieces, rows, spans, stay, trim
 
 WINDOW, END = 4096, 2
 SHARD_TOKENS = 1_000_000
@@ -282,6 +282,7 @@ def _frequencies(batches):
     import pyarrow as pa
     import zstandard
 
+    stay()
     for (data,) in rows(batches, "rest"):
         df = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
         at = np.flatnonzero(df)

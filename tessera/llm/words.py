@@ -166,13 +166,18 @@ def _task() -> int | None:
 def keep(key: str, make):
     """What a Python worker keeps between tasks that ask for it before their first row: made once, not once a task. It goes when a task that hasn't asked
     begins, so that it takes no memory from other operators: workers outlive stages."""
-    _tasks["asked"] = _task()
+    stay()
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
 
+def stay() -> None:
+    """What is kept outlives this task too: it's a step of the operator that keeps it. Called before the first row."""
+    _tasks["asked"] = _task()
+
+
 def _begin() -> None:
     """Once a task: what it hasn't asked for goes, and what earlier tasks have freed goes back."""
     task = _task()

@@ -109,3 +109,16 @@ def test_trim_gives_arrow_memory_back():
     gc.collect()
     trim()
     assert grown > 50 and mb() - before < grown / 4
+
+
+def test_steps_of_packing_keep_the_encoder(monkeypatch):
+    """A step of the same operator doesn't drop it, so the next packing finds it; another operator's first row does."""
+    from tessera.llm import words
+
+    own = object()
+    monkeypatch.setattr(words, "_kept", {})
+    monkeypatch.setattr(words, "_tasks", {})
+    for task, step, stays in ((1, lambda: words.keep("x", lambda: own), True), (2, lambda: list(packing._frequencies(iter([]))), True), (3, lambda: list(words.rows([], "text")), False)):
+        monkeypatch.setattr(words, "_task", lambda t=task: t)
+        step()
+        assert (words._kept.get("x") is own) == stays
