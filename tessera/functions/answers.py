@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.text import plain
+
 # Expressions that tell languages, questions, links and daily limits apart.
 CODE_LANGUAGES = (
     ("c", r"#include\s*[<\"]"),
@@ -51,22 +53,22 @@ def code_language(code: Column) -> Column:
     """The language of pasted code, by the first expression that it meets; python if none."""
     out = F.lit("python")
     for name, expression in reversed(CODE_LANGUAGES):
-        own = code.rlike(expression)
-        out = F.when(own | (code.rlike(C_MAIN) & ~F.contains(code, F.lit("public"))) if name == "c" else own, name).otherwise(out)
+        own = code.rlike(plain(expression))
+        out = F.when(own | (code.rlike(plain(C_MAIN)) & ~F.contains(code, F.lit("public"))) if name == "c" else own, name).otherwise(out)
     return out
 
 
 def concept_question(question: Column, terms: Column) -> Column:
     """Whether a question is about an idea: it names a term, asks for a meaning, and points at no piece of code."""
-    return (F.size(terms) > 0) & question.rlike(CONCEPT) & ~question.rlike(SPECIFIC)
+    return (F.size(terms) > 0) & question.rlike(plain(CONCEPT)) & ~question.rlike(plain(SPECIFIC))
 
 
 def general_question(question: Column) -> Column:
-    return question.rlike(GENERAL)
+    return question.rlike(plain(GENERAL))
 
 
 def pointing_question(question: Column) -> Column:
-    return question.rlike(POINTING)
+    return question.rlike(plain(POINTING))
 
 
 def repository(url: Column) -> Column:

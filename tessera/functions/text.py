@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ STOP_WORDS = (
 SUFFIXES = (("ies", "y"), ("ied", "y"), ("ing", ""), ("es", ""), ("s", ""), ("ed", ""))
 WORD = "[A-Za-z][A-Za-z0-9]*"
 CAMEL = "[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[0-9]+"
+_EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def plain(expression: str) -> str:
+    """The expression as SQL's engine (RE2) reads it: word boundaries of ASCII words, white space without the vertical tab, lines that end at \\n alone. Java's
+    own boundaries know letters of all scripts, so a keyword beside one wouldn't be found."""
+    out = re.sub(r"\\\\|\\b|\\s", lambda m: {"\\b": _EDGE, "\\s": r"[\t\n\f\r ]"}.get(m[0], m[0]), expression)
+    return "(?d)" + out
 
 
 def stem(term: Column) -> Column:
