@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut
+from tessera.session import cut, dealt, drop
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each (source, target, type): the least line, the best confidence."""
     best = F.when(F.max((F.col("confidence") == "high").cast("int")) == 1, "high").when(F.count("confidence") > 0, "medium")
-    return edges.groupBy("source", "target", "type").agg(F.min("line").alias("line"), best.alias("confidence"))
+    return dealt(edges, "source", "target", "type").groupBy("source", "target", "type").agg(F.min("line").alias("line"), best.alias("confidence"))
 
 
 def file_of(node: Column) -> Column:
@@ -109,13 +109,14 @@ def tests_reaching(edges: DataFrame, origins: DataFrame, tests: DataFrame, depth
 def closure(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
     """(id, depth): all that `start` (id) reaches along calls and imports, or with forward=False all that reaches it."""
     s, t = ("source", "target") if forward else ("target", "source")
-    links = cut(edges.where(F.col("type").isin("calls", "imports")).select(F.col(s).alias("id"), F.col(t).alias("next")).distinct())
-    seen = front = start.select("id", F.lit(0).alias("depth"))
+    links = cut(edges.where(F.col("type").isin("calls", "imports")).select(F.col(s).alias("id"), F.col(t).alias("next")))
+    seen = front = cut(start.select("id", F.lit(0).alias("depth")))
     k = 0
     while True:
         k += 1
         front = cut(links.join(front.select("id"), "id").select(F.col("next").alias("id")).distinct().join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(k)))
         if front.isEmpty():
+            drop(links, front)
             return seen.where("depth > 0")
         seen = seen.unionByName(front)
 

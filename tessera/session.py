@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,25 +34,51 @@ def repo_root() -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """End the lineage of a loop's table: a reliable checkpoint in spark.checkpoint.dir (where unset, on a local master as in tests, in a folder of its own)."""
-    sc = df.sparkSession.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", "")
-    if base:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(base)
-    elif not sc.getCheckpointDir():
+    """End the lineage of a table: it's written once, as Parquet, in spark.checkpoint.dir (where unset, on a local master as in tests, in a folder of its own) and read
+    back. Spark then knows its size, so a small one is broadcast, and reads only the columns that are asked for."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not base:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-cp"))
-    return df.checkpoint()
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tessera-cp"))
+        base = sc.getCheckpointDir()
+    path = f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before costly expressions, where the scan has fewer splits than that (a file of one row group is one task). A large table is left as it is."""
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables from cut() that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/tessera/" in folder:
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_mb(df: DataFrame) -> float:
+    """MB of the files that a plan reads, a file once for each scan of it; what has no files or no known size counts as nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return sum(s for s in sizes if s < 2**60) / 1e6
+
+
+def dealt(df: DataFrame, *keys: str, mb: float = 4) -> DataFrame:
+    """Rows by the keys' hash over so many tasks that each has about `mb` MB of the files read (a few hundred thousand narrow rows), so that a task's memory doesn't grow
+    with the input: joined on a scan of few splits, or coalesced to the number of cores, tasks would."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(read_mb(df) / mb)), *keys)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before costly expressions, where the scan has fewer splits than that (a file of one row group is one task), by the keys' hash if given. A large
+    table is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 _shipped: set[str] = set()

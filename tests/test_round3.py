@@ -20,3 +20,23 @@ def test_code_language_as_sql_on_letters_of_all_scripts(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(odd)))
     got = spark.createDataFrame(list(enumerate(odd)), "i int, c string").select("i", A.code_language(F.col("c")).alias("l")).orderBy("i").collect()
     assert [tuple(r) for r in got] == con.execute(sql).fetchall()
+
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_tasks_grow_with_the_files_read(spark):
+    """What a task groups is set by the files' size, not by the number of cores; a walk knows the size of what it wrote."""
+    from tessera.plans import graphs
+    from tessera.session import cut, dealt, drop, read_mb, table
+
+    item = table(spark, SF, "lineitem").select("l_orderkey")
+    cores = spark.sparkContext.defaultParallelism
+    mb = read_mb(item)
+    assert dealt(item, "l_orderkey").rdd.getNumPartitions() == cores and dealt(item, "l_orderkey", mb=mb / (3 * cores)).rdd.getNumPartitions() in (3 * cores, 3 * cores + 1)
+    assert "REPARTITION_BY_NUM" in graphs.QUERIES["graph_edges_merged"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    written = cut(item)
+    assert 0 < read_mb(written) < 10 and written.count() == item.count()
+    folder = written.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    drop(written)
+    assert not os.path.exists(folder)
