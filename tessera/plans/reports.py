@@ -36,9 +36,13 @@ def glossary_terms(spark, d):
 
 
 def columnar_pack(spark, d):
-    """Flattened for comparison: sizes and ends of the arrays."""
+    """Flattened for comparison: sizes and ends of the arrays over all blocks."""
     p = R.columnar_pack(graphs.nodes(spark, d), graphs.edges(spark, d))
-    return p.select(F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"), F.element_at("ids", -1).alias("last"), (F.size("calls") / 2).cast("long").alias("calls"), F.aggregate("calls", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    n, calls = F.size("ids").cast("long"), (F.size("calls") / 2).cast("long")
+    total = F.aggregate("calls", F.lit(0).cast("long"), lambda a, x: a + x)
+    of = p.select("block", n.alias("n"), F.get("ids", F.lit(0)).alias("first"), F.try_element_at("ids", F.lit(-1)).alias("last"), calls.alias("calls"), total.alias("total"))
+    held = F.when(F.col("n") > 0, F.col("block"))
+    return of.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min_by("first", held).alias("first"), F.max_by("last", held).alias("last"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
 
 
 QUERIES = {"overview_row": overview_row, "key_symbols": key_symbols, "size_estimate": size_estimate, "glossary_terms": glossary_terms, "columnar_pack": columnar_pack}

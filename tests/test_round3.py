@@ -40,3 +40,19 @@ def test_tasks_grow_with_the_files_read(spark):
     folder = written.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
     drop(written)
     assert not os.path.exists(folder)
+
+
+def test_columnar_pack_in_blocks(spark):
+    from tessera.operators.report import columnar_pack
+
+    ids = [f"n{i:02}" for i in range(11)]
+    ends = sorted({(i * 7 % 11, i * 5 % 11) for i in range(40)} | {(3, j) for j in range(11)})
+    nodes = spark.createDataFrame([(i,) for i in ids], "id string")
+    edges = spark.createDataFrame([(ids[a], ids[b], "calls") for a, b in ends] + [(ids[0], ids[1], "contains")], "source string, target string, type string")
+    got = columnar_pack(nodes, edges, 4).orderBy("block").collect()
+    assert all(len(r.ids) <= 4 and len(r.calls) <= 8 for r in got)
+    assert [x for r in got for x in r.ids] == ids and [x for r in got for x in r.calls] == [x for pair in ends for x in pair]
+    (one,) = columnar_pack(nodes, edges).collect()
+    assert one.ids == ids and one.calls == [x for pair in ends for x in pair]
+    (none,) = columnar_pack(nodes, edges.limit(0)).collect()
+    assert none.calls == []
