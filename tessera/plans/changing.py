@@ -10,7 +10,7 @@ from tessera.operators import graph as G
 from tessera.operators import impact as I  # noqa: E741
 from tessera.operators.report import GLOSSARY, glossary_terms
 from tessera.plans import graphs
-from tessera.session import table
+from tessera.session import spread, table
 
 
 def _spans(spark, d):
@@ -130,7 +130,8 @@ def chart_boxes(spark, d):
     k = F.col("p_partkey") % 4
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (k + 1).cast("int"))
     code = F.concat(pick("int f(int a) {", "class A { int f(int a) {", "function f(a) {", "function f(a: number): number {"), F.expr("repeat('\\n  if (a > 1) { g(a); }', p_size)"), F.lit("\n  return a;\n}"), pick("", "}", "", ""))
-    files = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), pick("c", "java", "javascript", "typescript").alias("language"), code.cast("binary").alias("content"))
+    part = spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")  # charts take milliseconds each, and the file may be one split
+    files = part.select(F.col("p_partkey").cast("string").alias("path"), pick("c", "java", "javascript", "typescript").alias("language"), code.cast("binary").alias("content"))
     return flowcharts(files).select("path", "function", F.explode("boxes.kind").alias("kind")).groupBy("path", "function", "kind").agg(F.count("*").alias("n"))
 
 

@@ -56,3 +56,17 @@ def test_columnar_pack_in_blocks(spark):
     assert one.ids == ids and one.calls == [x for pair in ends for x in pair]
     (none,) = columnar_pack(nodes, edges.limit(0)).collect()
     assert none.calls == []
+
+
+def test_charts_of_copies_and_tasks_of_one_split(spark):
+    """Copies have the chart of their text, over more files than become rows at once, and a file of one split is dealt to all cores."""
+    from tessera.functions.flow import SLICE, flowcharts
+    from tessera.session import spread, table
+
+    texts = ["int f(int a) {" + "\n if (a) { g(a); }" * k + "\n return a;\n}" for k in range(5)] + ["no function"]
+    rows = [(str(i), "c", texts[i % 6].encode()) for i in range(2 * SLICE + 7)]
+    got = flowcharts(spark.createDataFrame(rows, "path string, language string, content binary").coalesce(1)).select("path", F.size("boxes").alias("n"), F.col("boxes")[0]["label"].alias("label")).collect()
+    want = {p: 3 + 2 * (int(p) % 6) for p, _, _ in rows if int(p) % 6 < 5}
+    assert {r.path: r.n for r in got} == want and len(got) == len(want) and {r.label for r in got} == {"start: f(a)"}
+    part = table(spark, SF, "part").select("p_partkey")
+    assert part.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism == spread(part, "p_partkey").rdd.getNumPartitions()
