@@ -70,42 +70,82 @@ def callees(edges: DataFrame, of: DataFrame) -> DataFrame:
     return edges.where("type = 'calls'").join(of.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
 
 
+def _written(edges: DataFrame) -> DataFrame:
+    """Calls (source, target, guess), written once for walks in either direction."""
+    return cut(edges.where("type = 'calls'").select("source", "target", (F.col("confidence") != "high").alias("guess")))
+
+
 def ripple(edges: DataFrame, changed: DataFrame, depth: int = 3, skip: DataFrame | None = None) -> DataFrame:
     """Callers of callers of `changed` (id), at most `depth` steps back: (id, depth, guessed). The least depth wins, then a way without a
     guessed link. `skip` (id) are never entered."""
-    calls = edges.where("type = 'calls'").select(F.col("source").alias("next"), F.col("target").alias("id"), (F.col("confidence") != "high").alias("guess"))
-    if skip is not None:
-        calls = calls.join(skip.select(F.col("id").alias("next")), "next", "left_anti")
-    calls = cut(calls)
-    front = changed.select("id", F.lit(0).alias("depth"), F.lit(False).alias("guessed"))
-    seen = front
+    links = _written(edges)
+    out = _ripple(links, changed, depth, skip)
+    drop(links)
+    return out
+
+
+def _ripple(links: DataFrame, changed: DataFrame, depth: int, skip: DataFrame | None) -> DataFrame:
+    seen = front = cut(changed.select("id", F.lit(0).alias("depth"), F.lit(False).alias("guessed")))
     for k in range(1, depth + 1):
-        step = calls.join(front.select("id", "guessed"), "id").groupBy("next").agg(F.min(F.col("guessed") | F.col("guess")).alias("guessed"))
-        front = cut(step.select(F.col("next").alias("id"), F.lit(k).alias("depth"), "guessed").join(seen.select("id"), "id", "left_anti"))
+        step = links.join(front.select(F.col("id").alias("target"), "guessed"), "target").groupBy(F.col("source").alias("id")).agg(F.min(F.col("guessed") | F.col("guess")).alias("guessed"))
+        if skip is not None:
+            step = step.join(skip.select("id"), "id", "left_anti")
+        front = cut(step.select("id", F.lit(k).alias("depth"), "guessed").join(seen.select("id"), "id", "left_anti"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.where("depth > 0")
 
 
+def _reached(links: DataFrame, tests: DataFrame, depth: int) -> DataFrame:
+    """(id, far): by how few calls, up to `depth`, a test (id) comes to each node on a way through no other test; tests themselves have a row of 0 as well. One row a
+    node, however many tests there are."""
+    seen = front = tests.select("id", F.lit(0).alias("far"))
+    for k in range(1, depth + 1):
+        step = links.join(front.select(F.col("id").alias("source")), "source").select(F.col("target").alias("id")).distinct()
+        step = cut(step.join(seen.where("far > 0").select("id"), "id", "left_anti").withColumn("far", F.lit(k)))
+        if step.isEmpty():
+            break
+        seen = seen.unionByName(step)
+        front = step.join(tests, "id", "left_anti")
+    return seen
+
+
 def tests_reaching(edges: DataFrame, origins: DataFrame, tests: DataFrame, depth: int = 6, most: int = 6) -> DataFrame:
-    """(origin, test): the first tests, by id, that reach each origin in at most `depth` calls; the walk stops at tests."""
-    calls = cut(edges.where("type = 'calls'").select(F.col("source").alias("next"), F.col("target").alias("id")))
-    tests = cut(tests.select("id").distinct())
-    seen = front = origins.select(F.col("id").alias("origin"), "id")
+    """(origin, test): the first tests, by id, that reach each origin in at most `depth` calls; the walk stops at tests.
+
+    The walk back from each origin enters only nodes that a test comes to in the calls that are left, which one walk forward from all tests finds.
+    """
+    links, tests = _written(edges), cut(tests.select("id").distinct())
+    far = _reached(links, tests, depth).groupBy("id").agg(F.min("far").alias("far"))
+    calls = cut(links.join(far.withColumnRenamed("id", "source"), "source").select(F.col("source").alias("next"), F.col("target").alias("id"), "far"))
+    drop(links)
+    seen = front = cut(origins.select(F.col("id").alias("origin"), "id"))
     found = None
-    for _ in range(depth):
-        step = front.join(calls, "id").select("origin", F.col("next").alias("id")).distinct().join(seen, ["origin", "id"], "left_anti")
-        step = cut(step)
+    for k in range(1, depth + 1):
+        step = front.join(calls.where(F.col("far") <= depth - k), "id").select("origin", F.col("next").alias("id"), (F.col("far") == 0).alias("test")).distinct()
+        step = cut(step.join(seen, ["origin", "id"], "left_anti"))
         if step.isEmpty():
             break
-        hit = step.join(tests.select("id"), "id", "left_semi")
+        hit = step.where("test").select("origin", "id")
         found = hit if found is None else found.unionByName(hit)
-        front = step.join(tests.select("id"), "id", "left_anti")
+        front = step.where("NOT test").select("origin", "id")
         seen = seen.unionByName(step.select("origin", "id"))
+    drop(calls)
     found = found if found is not None else seen.limit(0)
     place = F.row_number().over(Window.partitionBy("origin").orderBy("id"))
     return found.withColumn("place", place).where(F.col("place") <= most).select("origin", F.col("id").alias("test"))
 
 
+def ripple_and_tested(edges: DataFrame, changed: DataFrame, tests: DataFrame, depth: int = 3, test_depth: int = 6) -> tuple[DataFrame, DataFrame]:
+    """ripple() of `changed` (id) that skips tests, and (id): which nodes a test reaches in at most `test_depth` calls. Whether a node is tested takes one walk from all
+    tests, not one from each node; both walks read the same calls."""
+    links, tests = _written(edges), cut(tests.select("id").distinct())
+    affected, reached = _ripple(links, changed, depth, tests), _reached(links, tests, test_depth)
+    drop(links)
+    return affected, reached.where("far > 0").select("id")
+
+
 def closure(edges: DataFrame, start: DataFrame, forward: bool = True) -> DataFrame:
     """(id, depth): all that `start` (id) reaches along calls and imports, or with forward=False all that reaches it."""
     s, t = ("source", "target") if forward else ("target", "source")

@@ -126,8 +126,7 @@ def _tests_for(spark, d):
 
 def _risk(spark, d):
     c, changed, tests = calls(spark, d), _changed(spark, d), _tests(spark, d)
-    affected = G.ripple(c, changed, 3, tests)
-    tested = G.tests_reaching(c, changed.unionByName(affected.select("id")), tests).select(F.col("origin").alias("id")).distinct()
+    affected, tested = G.ripple_and_tested(c, changed, tests)
     return G.risk(changed.withColumn("signature_changed", F.col("id").endswith("7")), affected, tested)
 
 

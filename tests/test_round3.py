@@ -70,3 +70,35 @@ def test_charts_of_copies_and_tasks_of_one_split(spark):
     assert {r.path: r.n for r in got} == want and len(got) == len(want) and {r.label for r in got} == {"start: f(a)"}
     part = table(spark, SF, "part").select("p_partkey")
     assert part.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism == spread(part, "p_partkey").rdd.getNumPartitions()
+
+
+def test_walks_from_tests_against_brute_force(spark):
+    """A cyclic graph in which tests call tests: the walk from all tests says of each node what the walks from each node do."""
+    import random
+
+    from tessera.operators import graph as G
+
+    r = random.Random(5)
+    ids = [f"n{i:02}" for i in range(40)]
+    pairs = sorted({(r.choice(ids), r.choice(ids)) for _ in range(70)})
+    tests, origins = set(ids[::6]), [i for k, i in enumerate(ids) if k % 6]
+    up: dict[str, set] = {}
+    for a, b in pairs:
+        up.setdefault(b, set()).add(a)
+
+    def reaching(origin, depth):
+        seen, front, found = {origin}, {origin}, set()
+        for _ in range(depth):
+            step = {a for b in front for a in up.get(b, ())} - seen
+            found |= step & tests
+            front, seen = step - tests, seen | step
+        return found
+
+    edges = spark.createDataFrame([(a, b, "calls", "high" if len(a + b) % 2 else "medium") for a, b in pairs], "source string, target string, type string, confidence string")
+    of = lambda names: spark.createDataFrame([(n,) for n in names], "id string")
+    for depth in (2, 6):
+        got = {(x.origin, x.test) for x in G.tests_reaching(edges, of(origins), of(tests), depth, 3).collect()}
+        assert got == {(o, t) for o in origins for t in sorted(reaching(o, depth))[:3]}
+        affected, tested = G.ripple_and_tested(edges, of(origins[:2]), of(tests), 3, depth)
+        assert {x.id for x in tested.collect()} & set(origins) == {o for o in origins if reaching(o, depth)}
+        assert sorted(affected.collect()) == sorted(G.ripple(edges, of(origins[:2]), 3, of(tests)).collect())
