@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ship
+
 
 def occurrence_ids(rows: DataFrame, scope: list[str], name: str, order: str) -> DataFrame:
     """Adds qual: the name, with #2, #3 ... from its second occurrence in the scope."""
@@ -26,17 +28,31 @@ def fixed_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
 
 
 def greedy_batches(rows: DataFrame, key: str, order: str, weight: str, most: int, count: int) -> DataFrame:
-    """Adds batch: within a key and in order, a new batch begins when one more row would take it over `most` in weight or `count` rows. A fold over
-    the key's rows, as no frame can say where a batch began."""
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<o:long,batch:long>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["w"] + x["w"] > most) | (acc["n"] >= count))
-        b = acc["batch"] + full.cast("long")
-        return F.struct(b.alias("batch"), F.when(full, x["w"]).otherwise(acc["w"] + x["w"]).alias("w"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(F.struct(x["o"].alias("o"), b.alias("batch")))).alias("out"))
-
-    folded = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(weight).cast("long").alias("w")))).alias("xs"))
-    return folded.select(key, F.inline(F.aggregate("xs", start, step, lambda a: a["out"]))).select(key, F.col("o").alias(order), "batch")
+    """(key, order, batch): within a key and in order, a new batch begins when one more row would take it over `most` in weight or `count` rows. A fold over
+    the key's rows, as no frame can say where a batch began; they pass once, in order, and nothing but the open batch is held, so a key with very many rows takes
+    time in proportion to them and no memory. A weight that is null takes no part in the comparison until the next batch begins."""
+    ship(rows.sparkSession)
+    narrow = rows.select(key, F.col(order).cast("long").alias(order), F.col(weight).cast("long").alias("_w"))
+    schema = narrow.select(key, order, F.lit(0).cast("long").alias("batch")).schema
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow, begun, at, batch, w, n = to_arrow_schema(schema), False, None, 0, 0, 0
+        for rows in batches:
+            out = []
+            for k, x in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                if not begun or k != at:
+                    begun, at, batch, w, n = True, k, 0, x, 1
+                elif n >= count or (w is not None and x is not None and w + x > most):
+                    batch, w, n = batch + 1, x, 1
+                else:
+                    w, n = None if w is None or x is None else w + x, n + 1
+                out.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(arrow.field(0).type), rows.column(1), pa.array(out, pa.int64())], schema=arrow)
+
+    return narrow.repartition(key).sortWithinPartitions(key, order, "_w").mapInArrow(run, schema)
 
 
 def islands(rows: DataFrame, key: list[str], order: list[str], kind: str) -> DataFrame:

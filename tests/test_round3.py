@@ -102,3 +102,24 @@ def test_walks_from_tests_against_brute_force(spark):
         affected, tested = G.ripple_and_tested(edges, of(origins[:2]), of(tests), 3, depth)
         assert {x.id for x in tested.collect()} & set(origins) == {o for o in origins if reaching(o, depth)}
         assert sorted(affected.collect()) == sorted(G.ripple(edges, of(origins[:2]), 3, of(tests)).collect())
+
+
+def test_greedy_batches_of_one_long_key(spark):
+    """60,000 rows of one key take time in proportion; a null weight takes no part until the next batch."""
+    import time
+
+    from tessera.operators.sequence import greedy_batches
+
+    rows = spark.range(60_000).select(F.lit("k").alias("k"), F.col("id"), F.when(F.col("id") % 10 != 3, F.col("id") * 7919 % 900).alias("w"))
+    began = time.time()
+    got = [r.batch for r in greedy_batches(rows, "k", "id", "w", 2000, 10).orderBy("id").collect()]
+    assert time.time() - began < 40
+    want, batch, w, n = [], 0, 0, 0
+    for i in range(60_000):
+        x = i * 7919 % 900 if i % 10 != 3 else None
+        if n and (n >= 10 or (w is not None and x is not None and w + x > 2000)):
+            batch, w, n = batch + 1, x, 1
+        else:
+            w, n = None if w is None or x is None else w + x, n + 1
+        want.append(batch)
+    assert got == want
