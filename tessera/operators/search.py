@@ -4,24 +4,19 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CAMEL, STOP_WORDS, SUFFIXES, WORD, tokens, tokens_raw
-from tessera.session import cut, spread
+from tessera.functions.text import CAMEL, STOP_WORDS, SUFFIXES, WORD, tokens_raw
+from tessera.session import cut, read_mb, ship, spread
 
 
 def words_of(question: str) -> list[str]:
     """A question's distinct terms, sorted: what tokens() does, for one string."""
-    out = set()
-    for word in re.findall(WORD, question):
-        for part in re.findall(CAMEL, word):
-            t = part.lower()
-            if len(t) >= 2 and t not in STOP_WORDS:
-                fit = next(((s, r) for s, r in SUFFIXES if t.endswith(s) and len(t) - len(s) >= 3), None)
-                out.add(t[: -len(fit[0])] + fit[1] if fit else t)
-    return sorted(out)
+    return sorted({t for word in re.findall(WORD, question) for t in _terms_of(word)})
 
 
 def raw_words_of(question: str) -> list[str]:
@@ -32,27 +27,120 @@ def raw_words_of(question: str) -> list[str]:
     return out
 
 
-def postings(chunks: DataFrame, terms: Column) -> DataFrame:
-    """(id, term, tf)."""
-    return spread(chunks).select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+#: Words whose terms a task keeps, terms whose documents it counts before it passes them on, and documents that become rows at once.
+KEPT_WORDS, KEPT_TERMS, SLICE = 200_000, 200_000, 256
 
 
-def frequencies(index: DataFrame) -> DataFrame:
+def _terms_of(word: str) -> list[str]:
+    """What tokens() makes of one word, with repetition."""
+    out = []
+    for part in re.findall(CAMEL, word):
+        t = part.lower()
+        if len(t) >= 2 and t not in STOP_WORDS:
+            fit = next(((s, r) for s, r in SUFFIXES if t.endswith(s) and len(t) - len(s) >= 3), None)
+            out.append(t[: -len(fit[0])] + fit[1] if fit else t)
+    return out
+
+
+def _raw_terms_of(word: str) -> list[str]:
+    return [word, *(p for p in word.split("_") if p)]
+
+
+def counted(chunks: DataFrame, raw: bool = False, wanted: Callable[[str], bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Chunks read once: (term, df) over all of them, and (id, terms, tfs) of those that hold a term that `wanted` takes. Terms are those of tokens(), or of tokens_raw().
+
+    A chunk's terms are counted where it's read and its word's terms looked up, so only what the question meets, and counts of documents, ever leave a task.
+    """
+    one = chunks.select("id", "text")
+    if not one.groupBy("id").count().where("count > 1").isEmpty():  # chunks that share an id are one; no term goes over a line end
+        one = one.groupBy("id").agg(F.concat_ws("\n", F.collect_list("text")).alias("text"))
+    ship(chunks.sparkSession)
+    schema = one.select("id", F.array(F.lit("")).alias("terms"), F.array(F.lit(0).cast("long")).alias("tfs"), F.lit(True).alias("own")).schema
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        words = re.compile("[a-z_][a-z0-9_]*" if raw else WORD)
+        split = _raw_terms_of if raw else _terms_of
+        known: dict[str, list[str]] = {}
+        good: set[str] = set()
+        found: Counter[str] = Counter()
+
+        def rows(ids, terms, tfs, own):
+            ids = pa.nulls(len(terms), arrow.field("id").type) if ids is None else ids.cast(arrow.field("id").type)
+            return pa.RecordBatch.from_arrays([ids, pa.array(terms, arrow.field("terms").type), pa.array(tfs, arrow.field("tfs").type), pa.array([own] * len(terms), pa.bool_())], schema=arrow)
+
+        def passed_on():
+            every = list(found)
+            parts = [every[k : k + 10_000] for k in range(0, len(every), 10_000)]
+            out = rows(None, parts, [[found[t] for t in p] for p in parts], False)
+            found.clear()
+            return out
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                at, terms, tfs = [], [], []
+                for n, text in enumerate(part.column(1).to_pylist()):
+                    tf: dict[str, int] = {}
+                    for w, c in Counter(words.findall(text.lower() if raw else text) if text else ()).items():
+                        own = known.get(w)
+                        if own is None:
+                            if len(known) >= KEPT_WORDS:
+                                known.clear()
+                            own = known[w] = split(w)
+                            if wanted is not None:
+                                good.update(filter(wanted, own))
+                        for t in own:
+                            tf[t] = tf.get(t, 0) + c
+                    found.update(tf.keys())
+                    if not good.isdisjoint(tf):
+                        at.append(n)
+                        terms.append(list(tf))
+                        tfs.append(list(tf.values()))
+                if at:
+                    yield rows(part.column(0).take(pa.array(at)), terms, tfs, True)
+                if len(found) >= KEPT_TERMS:
+                    yield passed_on()
+        if found:
+            yield passed_on()
+
+    every = cut(spread(one).mapInArrow(run, schema))
+    df = every.where("NOT own").select(F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("df")))).groupBy("term").agg(F.sum("df").alias("df"))
+    return df, every.where("own").select("id", "terms", "tfs")
+
+
+def frequencies(chunks: DataFrame) -> DataFrame:
     """(term, df)."""
-    return index.groupBy("term").agg(F.count("*").alias("df"))
+    return counted(chunks)[0]
+
 
+#: MB of a vocabulary's file up to which it's broadcast; a larger one is joined by shuffles.
+BROADCAST_MB = 16
 
-def _weights(index: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, term, tf, idf). The number of chunks is one row, so it's broadcast."""
+
+def _weighted(chunks: DataFrame, df: DataFrame, docs: DataFrame, share: Column, bits: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """(id, tf, idf, q, bits0 ...) of the documents' terms, and one row: the norm of the question's weights q over the vocabulary. A term that one document alone holds and
+    that isn't asked for has a known weight, so it isn't looked up."""
     n = F.broadcast(chunks.agg(F.greatest(F.count("*"), F.lit(1)).alias("n")))
-    idf = frequencies(index).crossJoin(n).select("term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    return index.join(idf, "term")
+    idf = df.crossJoin(n).select("term", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    known = cut(idf.withColumn("q", share * F.col("idf")).withColumns({f"bits{i}": b for i, b in enumerate(bits)}).where("df > 1 OR q > 0").drop("df"))
+    qnorm = known.where("q > 0").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
+    held = docs.select("id", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
+    found = held.join(F.broadcast(known) if read_mb(known) <= BROADCAST_MB else known, "term", "left").crossJoin(n)
+    alone = F.log((F.col("n") + 1) / F.lit(2)) + 1
+    return found.select("id", "tf", F.coalesce("idf", alone).alias("idf"), F.coalesce("q", F.lit(0.0)).alias("q"), *(F.coalesce(f"bits{i}", F.lit(0)).alias(f"bits{i}") for i in range(len(bits)))), qnorm
+
+
+def _reaches(w: str, t: str) -> bool:
+    return t == w or (len(w) >= 3 and t.startswith(w) and len(t) <= len(w) + 4)
 
 
 def similarities(chunks: DataFrame, question: str) -> DataFrame:
     """(id, score > 0): cosine with prefix expansion, times 0.4 + 0.6 * coverage of the question's words."""
     words = words_of(question)
-    weighted = _weights(cut(postings(chunks, tokens(F.col("text")))), chunks)
     t = F.col("term")
 
     def reached(w: str) -> Column:
@@ -60,15 +148,16 @@ def similarities(chunks: DataFrame, question: str) -> DataFrame:
         return (t == w) | near
 
     share = sum((F.when(t == w, 1.0).when(reached(w), 0.5).otherwise(0.0) for w in words), F.lit(0.0))
-    weighted = weighted.withColumn("w", (1 + F.log("tf")) * F.col("idf")).withColumn("q", share * F.col("idf"))
+    bits = [sum((F.when(reached(w), F.lit(1 << i)).otherwise(0).cast("long") for i, w in enumerate(words[k : k + 60])), F.lit(0).cast("long")) for k in range(0, len(words), 60)]
+    df, docs = counted(chunks, wanted=lambda term: any(_reaches(w, term) for w in words))
+    weighted, qnorm = _weighted(chunks, df, docs, share, bits)
+    w = (1 + F.log("tf")) * F.col("idf")
     per = weighted.groupBy("id").agg(
-        F.sum(F.col("w") * F.col("q")).alias("dot"),
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"),
-        *(F.max(reached(w).cast("int")).alias(f"c{i}") for i, w in enumerate(words)),
+        F.sum(w * F.col("q")).alias("dot"),
+        F.sqrt(F.sum(w * w)).alias("norm"),
+        *(F.bit_or(f"bits{i}").alias(f"bits{i}") for i in range(len(bits))),
     )
-    # the question's norm: over the vocabulary, so one row of each term
-    qnorm = weighted.where(F.col("q") > 0).groupBy("term").agg(F.max("q").alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
-    coverage = sum((F.col(f"c{i}") for i in range(len(words))), F.lit(0)) / max(1, len(words))
+    coverage = sum((F.bit_count(f"bits{i}") for i in range(len(bits))), F.lit(0)) / max(1, len(words))
     found = per.where("dot > 0").crossJoin(F.broadcast(qnorm))
     return found.select("id", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")) * (0.4 + 0.6 * coverage), 6).alias("score"))
 
@@ -81,13 +170,13 @@ def search(chunks: DataFrame, question: str, k: int = 6) -> DataFrame:
 def search_raw(chunks: DataFrame, question: str, k: int = 4) -> DataFrame:
     """Cosine of raw counts times idf; the k best over 0."""
     counts = {w: raw_words_of(question).count(w) for w in dict.fromkeys(raw_words_of(question))}
-    weighted = _weights(cut(postings(chunks, tokens_raw(F.col("text")))), chunks)
     share = F.lit(0.0)
     for w, c in counts.items():
         share = F.when(F.col("term") == w, float(c)).otherwise(share)
-    weighted = weighted.withColumn("w", F.col("tf") * F.col("idf")).withColumn("q", share * F.col("idf"))
-    per = weighted.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    qnorm = weighted.where("q > 0").groupBy("term").agg(F.max("q").alias("q")).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))
+    df, docs = counted(chunks, raw=True, wanted=lambda term: term in counts)
+    weighted, qnorm = _weighted(chunks, df, docs, share, [])
+    w = F.col("tf") * F.col("idf")
+    per = weighted.groupBy("id").agg(F.sum(w * F.col("q")).alias("dot"), F.sqrt(F.sum(w * w)).alias("norm"))
     scored = per.where("dot > 0").crossJoin(F.broadcast(qnorm)).select("id", F.round(F.col("dot") / (F.col("qnorm") * F.col("norm")), 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(k)
 

@@ -58,7 +58,7 @@ def token_stats(spark, d):
 def doc_frequency(spark, d):
     c = chunks(spark, d)
     n = F.broadcast(c.agg(F.count("*").alias("n")))
-    return S.frequencies(S.postings(c, tokens(F.col("text")))).crossJoin(n).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
+    return S.frequencies(c).crossJoin(n).select("term", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))
 
 
 def search_by_language(spark, d):
@@ -68,7 +68,7 @@ def search_by_language(spark, d):
 
 def prefix_expansion(spark, d):
     """Vocabulary terms that a question's word reaches by prefix."""
-    terms = S.frequencies(S.postings(chunks(spark, d), tokens(F.col("text"))))
+    terms = S.frequencies(chunks(spark, d))
     words = F.explode(F.array(*(F.lit(w) for w in S.words_of(QUESTION) if len(w) >= 3)))
     near = F.col("term").startswith(F.col("word")) & (F.length("term") <= F.length("word") + 4) & (F.col("term") != F.col("word"))
     return terms.select("term", words.alias("word")).where(near).select("word", "term")

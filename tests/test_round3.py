@@ -123,3 +123,22 @@ def test_greedy_batches_of_one_long_key(spark):
             w, n = None if w is None or x is None else w + x, n + 1
         want.append(batch)
     assert got == want
+
+
+@pytest.mark.parametrize("raw", [False, True])
+def test_terms_counted_in_one_pass(spark, raw):
+    """Of chunks that share an id, are null or hold odd letters: frequencies of all, counts of those that the question meets, as the text functions say; and nothing else leaves."""
+    from collections import Counter
+
+    from tessera.functions.text import tokens, tokens_raw
+    from tessera.operators.search import counted
+
+    rows = [(1, "loadedOrders order_items HTTPServer KKelvin"), (1, "orders loaded again"), (2, None), (3, ""), (4, "İstanbul straße x_y__z the classes"), (5, "one oneTwo ONE_two 12ab buses"), (None, "orders"), (None, "order")]
+    chunks = spark.createDataFrame(rows, "id long, text string")
+    each = chunks.select("id", F.explode((tokens_raw if raw else tokens)(F.col("text"))).alias("t")).collect()
+    of: dict = {}
+    for r in each:
+        of.setdefault(r.id, Counter())[r.t] += 1
+    df, docs = counted(chunks, raw, lambda t: t == "order")
+    assert {r.term: r.df for r in df.collect()} == Counter(t for c in of.values() for t in c)
+    assert {r.id: dict(zip(r.terms, r.tfs, strict=True)) for r in docs.collect()} == {k: dict(c) for k, c in of.items() if "order" in c}
