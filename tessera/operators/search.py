@@ -31,19 +31,24 @@ def raw_words_of(question: str) -> list[str]:
 KEPT_WORDS, KEPT_TERMS, SLICE = 200_000, 200_000, 256
 
 
+_CAMEL = re.compile(CAMEL)
+
+
 def _terms_of(word: str) -> list[str]:
-    """What tokens() makes of one word, with repetition."""
+    """What tokens() makes of one word (of WORD), with repetition."""
     out = []
-    for part in re.findall(CAMEL, word):
+    for part in (word,) if word.isalpha() and word.islower() else _CAMEL.findall(word):
         t = part.lower()
         if len(t) >= 2 and t not in STOP_WORDS:
-            fit = next(((s, r) for s, r in SUFFIXES if t.endswith(s) and len(t) - len(s) >= 3), None)
-            out.append(t[: -len(fit[0])] + fit[1] if fit else t)
+            if t[-1] in "sdg":  # what suffixes end in
+                fit = next(((s, r) for s, r in SUFFIXES if t.endswith(s) and len(t) - len(s) >= 3), None)
+                t = t[: -len(fit[0])] + fit[1] if fit else t
+            out.append(t)
     return out
 
 
 def _raw_terms_of(word: str) -> list[str]:
-    return [word, *(p for p in word.split("_") if p)]
+    return [word, *(p for p in word.split("_") if p)] if "_" in word else [word, word]
 
 
 def counted(chunks: DataFrame, raw: bool = False, wanted: Callable[[str], bool] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -88,9 +93,9 @@ def counted(chunks: DataFrame, raw: bool = False, wanted: Callable[[str], bool]
                     for w, c in Counter(words.findall(text.lower() if raw else text) if text else ()).items():
                         own = known.get(w)
                         if own is None:
-                            if len(known) >= KEPT_WORDS:
-                                known.clear()
-                            own = known[w] = split(w)
+                            own = split(w)
+                            if len(known) < KEPT_WORDS:  # words that come first are the common ones
+                                known[w] = own
                             if wanted is not None:
                                 good.update(filter(wanted, own))
                         for t in own:
